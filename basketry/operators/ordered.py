@@ -72,23 +72,36 @@ def running_totals(
     )
 
 
-def exact_medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Median per group, mean of the middle two values for even counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, value, ["n"], by)
+def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """Median of every measure per group, mean of the middle two for even counts.
+
+    All measures are counted per distinct value in one pass over ``df``.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(name).alias("_measure"), c.cast("double").alias("_value"))
+        for name, c in measures.items()
+    ])
+    counts = (
+        df.select(*by, F.inline(pairs)).filter("_value is not null")
+        .groupBy(*by, "_measure", "_value").agg(F.count("*").alias("n"))
+    )
+    ranked = running_totals(counts, "_value", ["n"], [*by, "_measure"])
+    first, last = F.col("n_upto") - F.col("n") + 1, F.col("n_upto")
     lower = F.floor((F.col("n_all") + 1) / 2)
     upper = F.floor((F.col("n_all") + 2) / 2)
-    covers = lambda pos: (F.col("n_upto") >= pos) & (F.col("n_upto") - F.col("n") < pos)
-    v = F.col(value).cast("double")
-    return ranked.groupBy(*by).agg(
-        ((F.max(F.when(covers(lower), v)) + F.max(F.when(covers(upper), v))) / 2).alias(name)
-    )
+    at = lambda name, pos: F.max(
+        F.when((F.col("_measure") == name) & pos.between(first, last), F.col("_value")))
+    return ranked.groupBy(*by).agg(*[
+        ((at(name, lower) + at(name, upper)) / 2).cast("decimal(38,6)").cast("double").alias(name)
+        for name in measures
+    ])
 
 
-def modes(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+def modes(df: DataFrame, by: list[str], value: Column, name: str, weight: Column | None = None) -> DataFrame:
     """Most frequent value per group; ties go to the smallest value."""
+    weight = F.lit(1) if weight is None else weight
     counts = (
-        df.select(*by, value.alias("_v")).filter("_v is not null")
-        .groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+        df.select(*by, value.alias("_v"), weight.alias("_w")).filter("_v is not null")
+        .groupBy(*by, "_v").agg(F.sum("_w").alias("_n"))
     )
-    return counts.groupBy(*by).agg(F.min(F.struct(-F.col("_n"), F.col("_v"))).getField("_v").alias(name))
+    return counts.groupBy(*by).agg(F.min(F.struct(-F.col("_n"), F.col("_v").alias("_v"))).getField("_v").alias(name))

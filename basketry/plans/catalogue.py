@@ -59,7 +59,11 @@ def category_transactions(star: Star, category: str) -> DataFrame:
 
 def trailing_top_products(star: Star, as_of: dt.date, days: int = 30, n: int = 10) -> DataFrame:
     since = F.date_sub(F.lit(as_of), days)
-    recent = star.sales.filter((F.col("transaction_date") >= since) & (F.col("transaction_date") <= F.lit(as_of)))
+    first_year = (as_of - dt.timedelta(days=days)).year
+    recent = star.sales.filter(
+        F.col("sale_year").between(first_year, as_of.year)
+        & (F.col("transaction_date") >= since) & (F.col("transaction_date") <= F.lit(as_of))
+    )
     per_sku = recent.groupBy("sku_id").agg(
         F.sum("net_amount").alias("net"), F.sum("quantity").alias("qty"), F.count("*").alias("n")
     )
@@ -73,9 +77,7 @@ def trailing_top_products(star: Star, as_of: dt.date, days: int = 30, n: int = 1
 
 def category_products(star: Star, category: str) -> DataFrame:
     """The product view of one category; the filter reaches the fact scan."""
-    narrowed = Star(star.sales.filter(F.col("category") == category), star.product, star.store,
-                    star.region, star.calendar, star.weather)
-    return views.sales_by_product(narrowed).filter(F.col("category") == category).orderBy(F.desc(NET), "sku_id")
+    return views.sales_by_product(star.where(F.col("category") == category)).filter(F.col("category") == category).orderBy(F.desc(NET), "sku_id")
 
 
 # --------------------------------------------------------------- store, region
@@ -110,9 +112,7 @@ def region_month(star: Star) -> DataFrame:
 
 
 def country_stores(star: Star, country: str) -> DataFrame:
-    narrowed = Star(star.sales.filter(F.col("country") == country), star.product, star.store,
-                    star.region, star.calendar, star.weather)
-    return views.sales_by_store_region(narrowed).orderBy(F.desc(NET), "store_id")
+    return views.sales_by_store_region(star.where(F.col("country") == country)).orderBy(F.desc(NET), "store_id")
 
 
 def category_region(star: Star, region_like: str | None = None) -> DataFrame:
@@ -211,8 +211,7 @@ def weather_conditions(star: Star, conditions: list[str] | None = None) -> DataF
 
 
 def region_weather(star: Star, region_like: str) -> DataFrame:
-    days = _region_days(Star(star.sales.filter(F.col("region_name").ilike(region_like)), star.product, star.store,
-                             star.region, star.calendar, star.weather))
+    days = _region_days(star.where(F.col("region_name").ilike(region_like)))
     return _with_weather(days, star, "left").groupBy("region_name", "weather_condition").agg(
         sum_of("net").alias("total_revenue"), big(F.sum("n")).alias("transactions")
     ).orderBy(F.desc("total_revenue"))
@@ -240,17 +239,15 @@ def temperature_bands(star: Star) -> DataFrame:
 
 
 def region_day_weather(star: Star, since: dt.date) -> DataFrame:
-    narrowed = Star(star.sales.filter(F.col("transaction_date") >= F.lit(since)), star.product, star.store,
-                    star.region, star.calendar, star.weather)
-    return _with_weather(_region_days(narrowed), star, "left").select(
+    recent = star.where((F.col("sale_year") >= since.year) & (F.col("transaction_date") >= F.lit(since)))
+    return _with_weather(_region_days(recent), star, "left").select(
         "region_name", "transaction_date", "weather_condition", dbl("net").alias("revenue"),
         dbl("temperature_avg").alias("avg_temp"),
     )
 
 
 def category_weather(star: Star) -> DataFrame:
-    days = _region_days(Star(star.sales.filter("is_current"), star.product, star.store, star.region,
-                             star.calendar, star.weather), "category")
+    days = _region_days(star.where(F.col("is_current")), "category")
     return _with_weather(days, star, "left").groupBy("category", "weather_condition").agg(
         sum_of("net").alias(NET)
     ).orderBy(F.desc(NET), "category")

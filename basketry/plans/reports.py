@@ -2,34 +2,32 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from basketry.functions.money import BAND_ORDER, big, dbl, lookup, ratio, rounded, sum_of
+from basketry.functions.money import BAND_ORDER, dbl, lookup, ratio, rounded, sum_of
 from basketry.functions.text import same_text
 from basketry.operators.ordered import exact_medians, modes
 from basketry.plans import views
+from basketry.session import spool
 from basketry.sources.star import Star
 
 
+WIDE = "decimal(28,2)"
+
+
 def seasonal_trend(star: Star, year: int | None = None) -> DataFrame:
     """Monthly rows with growth over the same month and season a year before.
 
     Growth is taken before the year filter, so a single year still has a basis.
     """
     monthly = views.monthly_sales_summary(star)
-    before = monthly.select(
-        (F.col("year") + 1).alias("year"), "month", "season",
-        F.col("net_revenue").alias("prev_net"),
-    )
-    growth = F.when(
-        F.col("prev_net") != 0,
-        rounded((F.col("net_revenue") - F.col("prev_net")) / F.nullif(F.col("prev_net"), F.lit(0.0)) * 100, 2).cast("double"),
-    )
-    out = (
-        monthly.join(before, ["year", "month", "season"], "left")
-        .withColumn("yoy_growth_pct", growth).drop("prev_net")
-    )
+    # A range frame of exactly one year back: a missing year gives NULL, as it should.
+    year_before = Window.partitionBy("month", "season").orderBy("year").rangeBetween(-1, -1)
+    prev = F.max("net_revenue").over(year_before)
+    growth = rounded(F.try_divide(F.col("net_revenue") - prev, prev) * 100, 2).cast("double")
+    out = monthly.withColumn("yoy_growth_pct", growth)
     if year is not None:
         out = out.filter(F.col("year") == year)
     return out.orderBy("year", "month", "season")
@@ -115,20 +113,20 @@ def concentration_scenario(star: Star, top_n: int = 10, shock_pct: float = 20.0)
     top = per_sku.orderBy(F.desc("net"), "sku_id").limit(top_n).select(F.col("net").alias("top"), none.alias("net"))
     # Two labelled branches summed together: no join is needed for two totals.
     both = per_sku.select(none.alias("top"), "net").unionByName(top)
-    sums = both.agg(dbl(F.coalesce(F.sum("net"), F.lit(0))).alias("total"),
-                    dbl(F.coalesce(F.sum("top"), F.lit(0))).alias("top"))
-    shocked = F.col("top") * (1.0 - shock_pct / 100.0)
+    sums = both.agg(F.coalesce(F.sum("net"), F.lit(0)).cast(WIDE).alias("total"),
+                    F.coalesce(F.sum("top"), F.lit(0)).cast(WIDE).alias("top"))
+    keep = F.lit(1 - Decimal(str(shock_pct)) / 100).cast("decimal(9,6)")
+    shocked = F.round(F.col("top") * keep, 2).cast(WIDE)
     impact = shocked - F.col("top")
-    money = lambda c: rounded(c, 2).cast("double")
     return sums.select(
         F.lit(top_n).alias("top_n"),
         F.lit(float(shock_pct)).alias("shock_pct"),
-        money(F.col("total")).alias("baseline_total_revenue"),
-        money(F.col("top")).alias("top_n_revenue_baseline"),
-        money(shocked).alias("top_n_revenue_shocked"),
-        money(F.col("total") + impact).alias("scenario_total_revenue"),
-        money(impact).alias("revenue_impact_usd"),
-        F.coalesce(money(F.try_divide(impact, F.col("total")) * 100), F.lit(0.0)).alias("revenue_impact_pct"),
+        dbl("total").alias("baseline_total_revenue"),
+        dbl("top").alias("top_n_revenue_baseline"),
+        dbl(shocked).alias("top_n_revenue_shocked"),
+        dbl(F.col("total") + impact).alias("scenario_total_revenue"),
+        dbl(impact).alias("revenue_impact_usd"),
+        F.coalesce(ratio(impact * 100, "total", 2), F.lit(0.0)).alias("revenue_impact_pct"),
     )
 
 
@@ -137,30 +135,30 @@ def category_features(star: Star) -> DataFrame:
 
     ``mode_is_holiday`` and ``latest_month`` are maxima, as their readers expect.
     """
-    sales = star.sales.filter("is_current").join(
-        star.calendar.select("date", "season", "month", "quarter", "is_holiday", "marketing_event"),
-        F.col("transaction_date") == F.col("date"),
-    ).withColumn("rate", F.coalesce(ratio("discount_amount", "total_amount", 6), F.lit(0.0)))
     by = ["category"]
-    maxima = sales.groupBy(*by).agg(
+    current = star.sales.filter("is_current")
+    medians = exact_medians(current, by, {
+        "median_list_price": F.col("list_price"),
+        "median_unit_price": F.col("unit_price"),
+        "actual_discount_rate": F.coalesce(ratio("discount_amount", "total_amount", 6), F.lit(0.0)),
+    })
+    # The label columns have few values, so one small table of counts serves them all.
+    labels = spool(
+        current.groupBy(*by, "store_type", "brand", "transaction_date").agg(F.count("*").alias("n"))
+        .join(star.calendar, F.col("transaction_date") == F.col("date"))
+        .groupBy(*by, "store_type", "brand", "season", "month", "quarter", "is_holiday",
+                 F.coalesce("marketing_event", F.lit("none")).alias("event"))
+        .agg(F.sum("n").alias("n")),
+        "labels",
+    )
+    out = labels.groupBy(*by).agg(
         F.max("month").alias("latest_month"),
         F.max("quarter").alias("latest_quarter"),
         F.max(F.col("is_holiday").cast("int")).alias("mode_is_holiday"),
-    )
-    parts = [
-        exact_medians(sales, by, "list_price", "median_list_price"),
-        exact_medians(sales, by, "unit_price", "median_unit_price"),
-        exact_medians(sales, by, "rate", "actual_discount_rate"),
-        modes(sales, by, F.col("store_type"), "mode_store_type"),
-        modes(sales, by, F.col("brand"), "mode_brand"),
-        modes(sales, by, F.col("season"), "mode_season"),
-        modes(sales, by, F.coalesce("marketing_event", F.lit("none")), "mode_marketing_event"),
-    ]
-    out = maxima
-    for part in parts:
-        out = out.join(part, by, "left")
-    for name in ("median_list_price", "median_unit_price", "actual_discount_rate"):
-        out = out.withColumn(name, rounded(F.col(name), 6).cast("double"))
+    ).join(medians, by)
+    for column, name in (("store_type", "mode_store_type"), ("brand", "mode_brand"),
+                         ("season", "mode_season"), ("event", "mode_marketing_event")):
+        out = out.join(modes(labels, by, F.col(column), name, F.col("n")), by, "left")
     return out
 
 

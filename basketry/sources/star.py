@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry.functions import dates as D
 from basketry.functions.money import MONEY, rounded
@@ -37,6 +37,10 @@ class Star:
     calendar: DataFrame
     weather: DataFrame
 
+    def where(self, condition: Column) -> Star:
+        """The same star over some of its sales."""
+        return replace(self, sales=self.sales.filter(condition))
+
     def register(self, spark: SparkSession, prefix: str = "") -> None:
         names = {
             "sales_transactions": self.sales, "product_master": self.product,
@@ -93,7 +97,7 @@ def store_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def marketing_event(d) -> F.Column:
+def marketing_event(d: Column | str) -> Column:
     slot = F.dayofyear(D.col(d)) % 13
     return F.when(slot == 0, "Flash Sale").when(slot == 5, "Clearance").when(slot == 9, "Loyalty Week")
 
