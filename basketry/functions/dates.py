@@ -42,3 +42,16 @@ def fiscal_quarter(month: Column | str) -> Column:
 def shifted_month(d: Column | str, months: int) -> Column:
     """First day of the month ``months`` away."""
     return F.add_months(month_start(d), months)
+
+
+def month_windows(month: Column | str, back: int = 36) -> list[Column]:
+    """Bounds of a month and of the history window that ends with it."""
+    first = month_start(month)
+    return [
+        first.alias("month_start"),
+        F.last_day(first).alias("month_end"),
+        F.add_months(first, -1).alias("previous_month"),
+        F.add_months(first, 1).alias("next_month"),
+        F.add_months(first, -back).alias("history_start"),
+        F.size(F.sequence(F.add_months(first, -back), F.add_months(first, -1), F.expr("interval 1 month"))).alias("history_months"),
+    ]

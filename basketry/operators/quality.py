@@ -21,31 +21,55 @@ def _value_checks(now: dt.datetime) -> dict[str, tuple[str, Column]]:
     }
 
 
-def failed_rules(now: dt.datetime) -> Column:
-    """Array of ``column:check`` in contract order."""
+def _failures(now: dt.datetime) -> list[tuple[str, Column]]:
+    """(``column:check``, condition that is true for a bad row), in contract order."""
     checks = _value_checks(now)
     found = []
     for name in CANONICAL:
         if name not in NULLABLE:
-            found.append(F.when(F.col(name).isNull(), F.lit(f"{name}:not_nullable")))
+            found.append((f"{name}:not_nullable", F.col(name).isNull()))
         if name in checks:
-            check, fails = checks[name]
-            found.append(F.when(fails, F.lit(f"{name}:{check}")))
-    return F.array_compact(F.array(*found))
+            check_name, fails = checks[name]
+            found.append((f"{name}:{check_name}", fails))
+    return found
+
+
+def reject_reason(now: dt.datetime) -> Column:
+    """Every failed rule of the row, ``; `` between them; NULL for a valid row."""
+    texts = [F.when(fails, F.lit(rule)) for rule, fails in _failures(now)]
+    return F.nullif(F.concat_ws("; ", *texts), F.lit(""))
+
+
+def is_rejected(now: dt.datetime) -> Column:
+    bad = F.lit(False)
+    for _, fails in _failures(now):
+        bad = bad | F.coalesce(fails, F.lit(False))
+    return bad
 
 
 def check(df: DataFrame, now: dt.datetime) -> DataFrame:
-    """Add ``reject_reason``: NULL for a valid row."""
-    reasons = failed_rules(now)
-    return df.withColumn("reject_reason", F.nullif(F.concat_ws("; ", reasons), F.lit("")))
+    return df.withColumn("reject_reason", reject_reason(now))
+
+
+def valid(df: DataFrame, now: dt.datetime) -> DataFrame:
+    return df.filter(~is_rejected(now))
+
+
+def rejected(df: DataFrame, now: dt.datetime) -> DataFrame:
+    """Bad rows with their reason, which is only put together for them."""
+    return check(df.filter(is_rejected(now)), now)
 
 
 def split(df: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    checked = check(df, now)
-    return (
-        checked.filter("reject_reason is null").drop("reject_reason"),
-        checked.filter("reject_reason is not null"),
-    )
+    return valid(df, now), rejected(df, now)
+
+
+def failed_rules(df: DataFrame, now: dt.datetime) -> DataFrame:
+    """How many rows fail each rule, in one pass and one output row per failed rule."""
+    rules = _failures(now)
+    counts = df.agg(*[F.count_if(fails).alias(rule) for rule, fails in rules])
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("rows")) for rule, _ in rules])
+    return counts.select(F.inline(pairs)).filter("rows > 0")
 
 
 def flag_sku_unmatched(df: DataFrame, product: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def backfill(rows: DataFrame, product: DataFrame, now: dt.datetime) -> DataFrame
     key and month first, so the window over a key holds at most one row per month.  A
     month's winner is loaded when no earlier month had a newer copy.
     """
-    valid, _ = quality.split(rows, now)
+    valid = quality.valid(rows, now)
     flagged = quality.flag_late(quality.flag_sku_unmatched(valid, product), F.col("batch_month"))
     payload = [c for c in [*CANONICAL, *FLAGS, "ingest_seq"] if c not in KEY]
     monthly = flagged.groupBy(*KEY, "batch_month").agg(
@@ -213,9 +213,9 @@ def backfill_gold_rows(months: DataFrame, promotable) -> DataFrame:
 
 def backfill_runs(rows: DataFrame, months: DataFrame, now: dt.datetime, gold_rows: DataFrame | None = None) -> DataFrame:
     """Run counts per month, as the monthly loop would log them."""
-    checked = quality.check(rows, now).groupBy("batch_month").agg(
+    checked = rows.groupBy("batch_month").agg(
         F.count("*").alias("rows_in"),
-        F.count("reject_reason").alias("rows_rejected"),
+        F.count_if(quality.is_rejected(now)).alias("rows_rejected"),
     )
     dedup = months.groupBy("batch_month").agg(
         F.sum(F.col("loaded").cast("bigint")).alias("rows_loaded"),

@@ -44,7 +44,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, _ = quality.split(canonical(spark, sf_dir), NOW)
+    valid = quality.valid(canonical(spark, sf_dir), NOW)
     return quality.flag_late(quality.flag_sku_unmatched(valid, known_product(spark, sf_dir)), F.col("batch_month"))
 
 
@@ -159,7 +159,7 @@ def _table_writes(spark, sf_dir):
 def sink_append(spark, sf_dir):
     """Rejected rows of two halves appended to one table."""
     path = fresh(spark, "rejected")
-    _, rejected = quality.split(canonical(spark, sf_dir), NOW)
+    rejected = quality.rejected(canonical(spark, sf_dir), NOW)
     for half in ("batch_month < date'1999-01-01'", "batch_month >= date'1999-01-01'"):
         sinks.append(rejected.filter(half).withColumn("rejected_at", F.lit(NOW)), path, S.REJECTED_COLUMNS)
     return spark.read.parquet(path).groupBy("source_system", "reject_reason").agg(big(F.count("*")).alias("rows"))
@@ -221,31 +221,30 @@ def adapt_union(spark, sf_dir):
 
 def val_rules(spark, sf_dir):
     """How often each rule fails."""
-    failed = canonical(spark, sf_dir).select(F.explode(quality.failed_rules(NOW)).alias("rule"))
-    return failed.groupBy("rule").agg(big(F.count("*")).alias("rows"))
+    return quality.failed_rules(canonical(spark, sf_dir), NOW)
 
 
 def val_reason(spark, sf_dir):
-    _, rejected = quality.split(canonical(spark, sf_dir), NOW)
+    rejected = quality.rejected(canonical(spark, sf_dir), NOW)
     return rejected.select(*S.KEY, "batch_id", ts6("ingested_at"), "reject_reason")
 
 
 def val_split(spark, sf_dir):
-    checked = quality.check(canonical(spark, sf_dir), NOW)
-    return checked.groupBy("source_system", F.col("reject_reason").isNull().alias("is_valid")).agg(
+    rows = canonical(spark, sf_dir)
+    return rows.groupBy("source_system", (~quality.is_rejected(NOW)).alias("is_valid")).agg(
         big(F.count("*")).alias("rows"))
 
 
 def val_quarantine(spark, sf_dir):
     path = fresh(spark, "quarantine")
-    _, rejected = quality.split(canonical(spark, sf_dir), NOW)
+    rejected = quality.rejected(canonical(spark, sf_dir), NOW)
     sinks.append(rejected.withColumn("rejected_at", F.lit(NOW)), path, S.REJECTED_COLUMNS)
     return spark.read.parquet(path).select(*S.KEY, "sku", "quantity", "unit_price", "store_id", "batch_id",
                                            ts6("ingested_at"), "reject_reason", ts("rejected_at"))
 
 
 def flag_sku_unmatched(spark, sf_dir):
-    valid, _ = quality.split(canonical(spark, sf_dir), NOW)
+    valid = quality.valid(canonical(spark, sf_dir), NOW)
     return quality.flag_sku_unmatched(valid, known_product(spark, sf_dir)).select(
         *S.KEY, ts6("ingested_at"), "sku", "sku_unmatched")
 
@@ -321,7 +320,7 @@ def _outcomes(spark, sf_dir) -> DataFrame:
     """Every landed row with its outcome, taken as one batch on an empty table."""
     tagged = S.tag_copies(valid_rows(spark, sf_dir)).withColumn(
         "outcome", F.when(F.col("is_kept"), "loaded").otherwise("deduped"))
-    _, rejected = quality.split(canonical(spark, sf_dir), NOW)
+    rejected = quality.rejected(canonical(spark, sf_dir), NOW)
     columns = ["source_system", "batch_month", "outcome"]
     return (
         tagged.select(*columns).unionByName(rejected.withColumn("outcome", F.lit("rejected")).select(*columns))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from basketry.functions.money import cents
 from basketry.functions.text import row_hash
-from basketry.sources.star import sale_amounts, table
+from basketry.session import path_exists
+from basketry.sources.star import read_parquet, sale_amounts, session_folder, table
 
 _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 
@@ -96,6 +97,16 @@ def native_feed(spark: SparkSession, sf_dir: str, source: str, every_line: bool
 
 
 def landed_feed(spark: SparkSession, sf_dir: str, source: str, every_line: bool = False) -> DataFrame:
+    """The landed table of a feed: written on first use, read back afterwards."""
+    name = f"{source}-all" if every_line else source
+    path = f"{session_folder(spark, sf_dir)}/bronze/{name}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        audited = audited_feed(spark, sf_dir, source, every_line)
+        audited.sortWithinPartitions("batch_month").write.mode("overwrite").parquet(path)
+    return read_parquet(spark, path)
+
+
+def audited_feed(spark: SparkSession, sf_dir: str, source: str, every_line: bool = False) -> DataFrame:
     """The feed with audit columns, one batch per shipping month.
 
     ``ingested_at`` rises in microsecond steps inside a day and ``ingest_seq`` settles

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 from dataclasses import dataclass, replace
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -51,8 +52,21 @@ class Star:
             df.createOrReplaceTempView(prefix + name)
 
 
+# Per session: schemas of files already opened, and stars already built.
+_schemas: WeakKeyDictionary = WeakKeyDictionary()
+_stars: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read Parquet; the footers are opened for the schema only the first time."""
+    known = _schemas.setdefault(spark, {})
+    if path not in known:
+        known[path] = spark.read.parquet(path).schema
+    return spark.read.schema(known[path]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- dimensions
@@ -102,13 +116,9 @@ def marketing_event(d: Column | str) -> Column:
     return F.when(slot == 0, "Flash Sale").when(slot == 5, "Clearance").when(slot == 9, "Loyalty Week")
 
 
-def calendar_dim(spark: SparkSession, start: dt.date = CALENDAR_START, end: dt.date = CALENDAR_END) -> DataFrame:
-    """One row per day of the inclusive window."""
-    days = (end - start).days + 1
-    spine = spark.range(1, numPartitions=1).select(
-        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
-    )
-    cal = spine.select(
+def calendar_columns(days: DataFrame) -> DataFrame:
+    """Calendar attributes of a one-column frame of dates."""
+    return days.select(
         "date",
         F.date_format("date", "EEEE").alias("day_of_week"),
         (F.weekday("date") + 1).alias("day_of_week_num"),
@@ -120,9 +130,24 @@ def calendar_dim(spark: SparkSession, start: dt.date = CALENDAR_START, end: dt.d
         D.season("date").alias("season"),
         marketing_event("date").alias("marketing_event"),
     )
+
+
+def calendar_dim(spark: SparkSession, start: dt.date = CALENDAR_START, end: dt.date = CALENDAR_END) -> DataFrame:
+    """One row per day of the inclusive window."""
+    days = (end - start).days + 1
+    spine = spark.range(1, numPartitions=1).select(
+        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
+    )
+    cal = calendar_columns(spine)
     return F.broadcast(cal) if days <= GENERATED_ROWS_MAX else cal
 
 
+def calendar_over(df: DataFrame, day: str) -> DataFrame:
+    """Calendar of every day in the months that ``day`` covers."""
+    bounds = df.agg(F.trunc(F.min(day), "MM").alias("lo"), F.last_day(F.max(day)).alias("hi"))
+    return calendar_columns(bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date")))
+
+
 def weather_dim(spark: SparkSession, sf_dir: str, start: dt.date = CALENDAR_START,
                 end: dt.date = CALENDAR_END) -> DataFrame:
     """Weather per region and day; some days are missing on purpose."""
@@ -208,19 +233,23 @@ def write_sales(sales: DataFrame, path: str) -> None:
     )
 
 
-def sales_path(spark: SparkSession, sf_dir: str) -> str:
-    return f"{scratch_root(spark)}/star-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}/sales"
+def session_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the tables derived from ``sf_dir`` in this session."""
+    return f"{scratch_root(spark)}/derived-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
 
 
 def load_star(spark: SparkSession, sf_dir: str) -> Star:
     """Star over ``sf_dir``; the fact is written on first use and read afterwards."""
     configure(spark)
-    product, store, region = product_dim(spark, sf_dir), store_dim(spark, sf_dir), region_dim(spark, sf_dir)
-    path = sales_path(spark, sf_dir)
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        write_sales(enriched_sales(sales_fact(spark, sf_dir), product, store, region), path)
-    return Star(
-        sales=spark.read.parquet(path),
-        product=product, store=store, region=region,
-        calendar=calendar_dim(spark), weather=weather_dim(spark, sf_dir),
-    )
+    built = _stars.setdefault(spark, {})
+    if sf_dir not in built:
+        product, store, region = product_dim(spark, sf_dir), store_dim(spark, sf_dir), region_dim(spark, sf_dir)
+        path = f"{session_folder(spark, sf_dir)}/sales"
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            write_sales(enriched_sales(sales_fact(spark, sf_dir), product, store, region), path)
+        built[sf_dir] = Star(
+            sales=spark.read.parquet(path),
+            product=product, store=store, region=region,
+            calendar=calendar_dim(spark), weather=weather_dim(spark, sf_dir),
+        )
+    return built[sf_dir]
