@@ -69,6 +69,8 @@ def promote(spark: SparkSession, lake: Lake, silver: DataFrame, product: DataFra
             calendar: DataFrame, mode: str = "insert") -> int:
     """Add promotable rows to the fact and return how many are new.
 
+    ``silver`` may be the whole clean layer or, after a run, just that run's rows; the
+    whole is needed once when a dimension has gained rows.
     ``insert`` never changes a fact row, so a later correction stays in the clean layer;
     ``upsert`` lets the correction through.
     """

@@ -8,28 +8,36 @@ result, so approximate edges still give exact totals.
 """
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.session import spool
 
-BUCKETS = 64
+ROWS_PER_BUCKET = 50_000
+MAX_BUCKETS = 1024
 
 
-def with_bucket(values: DataFrame, value: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: the number of approximate quantile edges below the value.
+def with_bucket(values: DataFrame, value: str, buckets: int | None) -> DataFrame:
+    """Add ``_bucket``, rising with the value; ``value`` must not be NULL.
 
-    The edges (fewer than ``buckets`` numbers) become literals, so every use of the
-    frame, and every retried task, cuts at the same places.
+    The number of buckets follows the row count.  The edges are plain numbers, so every
+    use of the frame, and every retried task, cuts at the same places.
     """
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, values.count() // ROWS_PER_BUCKET + 1)
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = values.agg(
-        F.percentile_approx(F.col(value).cast("double"), cuts, buckets * 20)
-    ).first()[0]
+    edges = None
+    if cuts:
+        point = F.col(value).cast("double")
+        edges = values.agg(F.percentile_approx(point, cuts, max(1000, buckets * 20))).first()[0]
     if not edges:
         return values.withColumn("_bucket", F.lit(0))
-    literal = F.array(*[F.lit(float(e)) for e in sorted(set(edges))])
-    point = F.col(value).cast("double")
-    return values.withColumn("_bucket", F.size(F.filter(literal, lambda e: e < point)))
+    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol="_point", outputCol="_at")
+    return (
+        cutter.transform(values.withColumn("_point", F.col(value).cast("double")))
+        .withColumn("_bucket", F.col("_at").cast("int")).drop("_point", "_at")
+    )
 
 
 def running_totals(
@@ -38,11 +46,11 @@ def running_totals(
     measures: list[str],
     by: list[str] | None = None,
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``<measure>_upto`` (inclusive) and ``<measure>_all`` in ``value`` order.
 
-    ``values`` must hold one row per (by, value).
+    ``values`` must hold one row per (by, value), with no NULL value.
     """
     by = by or []
     values = spool(values, "values")
@@ -72,7 +80,7 @@ def running_totals(
     )
 
 
-def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """Median of every measure per group, mean of the middle two for even counts.
 
     All measures are counted per distinct value in one pass over ``df``.
@@ -85,7 +93,7 @@ def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column]) ->
         df.select(*by, F.inline(pairs)).filter("_value is not null")
         .groupBy(*by, "_measure", "_value").agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(counts, "_value", ["n"], [*by, "_measure"])
+    ranked = running_totals(counts, "_value", ["n"], [*by, "_measure"], buckets=buckets)
     first, last = F.col("n_upto") - F.col("n") + 1, F.col("n_upto")
     lower = F.floor((F.col("n_all") + 1) / 2)
     upper = F.floor((F.col("n_all") + 2) / 2)

@@ -177,6 +177,11 @@ def process_batch(spark: SparkSession, lake: Lake, adapted: DataFrame, product:
     return run
 
 
+def rows_of_batches(silver: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows that came with one of the batch's landings."""
+    return silver.join(batch.select("batch_id").distinct(), "batch_id", "left_semi")
+
+
 # ------------------------------------------------------------------ backfill
 
 def backfill(rows: DataFrame, product: DataFrame, now: dt.datetime) -> DataFrame:
@@ -188,12 +193,11 @@ def backfill(rows: DataFrame, product: DataFrame, now: dt.datetime) -> DataFrame
     """
     valid = quality.valid(rows, now)
     flagged = quality.flag_late(quality.flag_sku_unmatched(valid, product), F.col("batch_month"))
-    payload = [c for c in [*CANONICAL, *FLAGS, "ingest_seq"] if c not in KEY]
+    # A struct compares field by field, so the order columns lead and the rest ride along.
+    payload = [*NEWEST, *[c for c in [*CANONICAL, *FLAGS] if c not in KEY and c not in NEWEST]]
     monthly = flagged.groupBy(*KEY, "batch_month").agg(
-        F.max_by(F.struct(*payload), F.struct(*NEWEST)).alias("row"),
-        F.max(F.struct(*NEWEST)).alias("newest"),
-        F.count("*").alias("copies"),
-    )
+        F.max(F.struct(*payload)).alias("row"), F.count("*").alias("copies"),
+    ).withColumn("newest", F.struct(*[F.col(f"row.{c}") for c in NEWEST]))
     earlier = Window.partitionBy(*KEY).orderBy("batch_month").rowsBetween(Window.unboundedPreceding, -1)
     best_before = F.max("newest").over(earlier)
     return monthly.withColumn("loaded", best_before.isNull() | (F.col("newest") > best_before))

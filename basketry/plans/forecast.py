@@ -256,13 +256,13 @@ def with_slice_id(series: DataFrame) -> DataFrame:
     return series.withColumn("slice_id", slice_key("category", "region_id"))
 
 
-def trained_slices(star: Star, as_of: dt.date, min_obs: int = MIN_OBS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gate, series arrays of the slices that pass, their chosen models)."""
+def fitted_slices(star: Star, as_of: dt.date, min_obs: int = MIN_OBS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gate, series arrays of the slices that pass, all their fits), fits written once."""
     series = with_slice_id(slice_series(star, as_of))
     gate = with_slice_id(observation_gate(series, min_obs))
     arrays = series_arrays(series).join(gate.filter("status = 'trained'").select("slice_id"), "slice_id", "left_semi")
     arrays = spool(arrays, "series")
-    return gate, arrays, spool(best_orders(order_grid(arrays)), "models")
+    return gate, arrays, spool(order_grid(arrays), "fits")
 
 
 def aggregate_forecast(star: Star, as_of: dt.date, horizon: int = 3) -> DataFrame:

@@ -344,9 +344,10 @@ def run_chain(spark: SparkSession, sf_dir: str, batches: list[tuple[str, Column,
     rows = canonical(spark, sf_dir)
     product = known_product(spark, sf_dir)
     for run_id, which, month in batches:
-        S.process_batch(spark, lake, rows.filter(which), product, month, run_id, NOW)
+        batch = rows.filter(which)
+        S.process_batch(spark, lake, batch, product, month, run_id, NOW)
         silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
-        gold.promote(spark, lake, silver, product, store_dim(spark, sf_dir), calendar_dim(spark))
+        gold.promote(spark, lake, S.rows_of_batches(silver, batch), product, store_dim(spark, sf_dir), calendar_dim(spark))
     return lake
 
 

@@ -39,8 +39,13 @@ def _model(spark, sf_dir, spec: M.ModelSpec):
     return once(spark, ("model", spec.target, sf_dir), make)
 
 
+def _fits(spark, sf_dir):
+    return once(spark, ("fits", sf_dir), lambda: T.fitted_slices(load_star(spark, sf_dir), AS_OF))
+
+
 def _slices(spark, sf_dir):
-    return once(spark, ("slices", sf_dir), lambda: T.trained_slices(load_star(spark, sf_dir), AS_OF))
+    gate, arrays, fits = _fits(spark, sf_dir)
+    return gate, arrays, T.best_orders(fits)
 
 
 # ------------------------------------------------------------------- features
@@ -184,8 +189,7 @@ def ts_seasonal_baseline(spark, sf_dir):
 
 
 def ts_order_grid(spark, sf_dir):
-    _, arrays, _ = _slices(spark, sf_dir)
-    return T.order_grid(arrays).select("slice_id", *T.ORDER, rounded(F.col("aic"), 4).cast("double").alias("aic"))
+    return _fits(spark, sf_dir)[2].select("slice_id", *T.ORDER, rounded(F.col("aic"), 4).cast("double").alias("aic"))
 
 
 def ts_forecast_ci(spark, sf_dir):

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from basketry.session import drop_path, path_exists
+from basketry.session import drop_path, path_exists, spool
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -62,10 +62,13 @@ def upsert(spark: SparkSession, updates: DataFrame, path: str, keys: list[str],
         _by_folder(updates, [partition]).write.mode("overwrite").partitionBy(partition).parquet(path)
         return
     target = spark.read.schema(updates.schema).parquet(path)
+    updates = spool(updates, "updates")  # read four times below
     batch_keys = updates.select(*keys).distinct()
     old = target.join(batch_keys, keys, "left_semi").select(partition)
     # Partition values are months: a short list, unlike the rows behind them.
     touched = [r[0] for r in old.union(updates.select(partition)).distinct().collect()]
+    if not touched:
+        return
     part_is = F.col(partition).isin(touched)
     kept = target.filter(part_is).join(batch_keys, keys, "left_anti")
     merged = kept.unionByName(updates)

@@ -61,7 +61,7 @@ def chain_stream(landed: dict[str, DataFrame], lake: S.Lake, checkpoint: str, pr
             return
         S.process_batch(spark, lake, rows, product, None, run_id, now)
         silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
-        gold.promote(spark, lake, silver, product, store, calendar)
+        gold.promote(spark, lake, S.rows_of_batches(silver, rows), product, store, calendar)
 
     _finish(
         adapt_all(landed).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
