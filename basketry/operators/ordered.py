@@ -17,25 +17,19 @@ ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 1024
 
 
-def with_bucket(values: DataFrame, value: str, buckets: int | None) -> DataFrame:
+def with_bucket(values: DataFrame, value: str, buckets: int) -> DataFrame:
     """Add ``_bucket``, rising with the value; ``value`` must not be NULL.
 
-    The number of buckets follows the row count.  The edges are plain numbers, so every
-    use of the frame, and every retried task, cuts at the same places.
+    The edges are plain numbers, so every use of the frame, and every retried task, cuts
+    at the same places.
     """
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, values.count() // ROWS_PER_BUCKET + 1)
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = None
-    if cuts:
-        point = F.col(value).cast("double")
-        edges = values.agg(F.percentile_approx(point, cuts, max(1000, buckets * 20))).first()[0]
-    if not edges:
-        return values.withColumn("_bucket", F.lit(0))
+    point = F.col(value).cast("double")
+    edges = values.agg(F.percentile_approx(point, cuts, max(1000, buckets * 20))).first()[0] or []
     splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_point", outputCol="_at")
     return (
-        cutter.transform(values.withColumn("_point", F.col(value).cast("double")))
+        cutter.transform(values.withColumn("_point", point))
         .withColumn("_bucket", F.col("_at").cast("int")).drop("_point", "_at")
     )
 
@@ -50,11 +44,21 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<measure>_upto`` (inclusive) and ``<measure>_all`` in ``value`` order.
 
-    ``values`` must hold one row per (by, value), with no NULL value.
+    ``values`` must hold one row per (by, value), with no NULL value.  The number of
+    buckets follows the row count; a table that fits one bucket runs one plain window.
     """
     by = by or []
-    values = spool(values, "values")
     order = F.col(value).desc() if descending else F.col(value).asc()
+    values = spool(values, "values")
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, values.count() // ROWS_PER_BUCKET + 1)
+    if buckets == 1:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return values.select(
+            "*",
+            *[F.sum(m).over(upto).alias(f"{m}_upto") for m in measures],
+            *[F.sum(m).over(Window.partitionBy(*by)).alias(f"{m}_all") for m in measures],
+        )
     bucketed = with_bucket(values, value, buckets)
 
     inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
