@@ -14,7 +14,7 @@ from basketry.sources.feeds import SOURCES, landed_feed
 from basketry.sources.star import load_star
 
 HEADLINE = [
-    "v_sales_by_product", "v_sales_by_store_region", "v_daily_sales_summary", "v_sales_weather_context",
+    "dim_calendar", "dim_insert_calendar_weather", "v_sales_by_product", "v_sales_by_store_region", "v_daily_sales_summary", "v_sales_weather_context",
     "v_monthly_sales_summary", "v_monthly_sales_by_category_region", "v_category_leakage", "v_discount_effectiveness",
     "v_sku_revenue_pareto", "rep_yoy_growth", "rep_category_features", "rep_concentration_scenario",
     "q_category_quarter", "q_top_products", "q_category_weather", "q_top_category_per_region", "q_last_30_days_top10",
