@@ -139,7 +139,8 @@ def classify(adapted: DataFrame, silver: DataFrame, product: DataFrame, month: d
              now: dt.datetime) -> DataFrame:
     """Each current row, and each stored row it competes with, with its outcome."""
     if "ingest_seq" not in adapted.columns:
-        adapted = adapted.withColumn("ingest_seq", F.monotonically_increasing_id())
+        # Written down at once: a number given anew to a recomputed row would match no winner.
+        adapted = spool(adapted.withColumn("ingest_seq", F.monotonically_increasing_id()), "sequenced")
     valid, rejected = quality.split(adapted, now)
     # A catch-up load holds many months; its rows say which one they belong to.
     batch_month = F.col("batch_month") if month is None else F.lit(month.replace(day=1))

@@ -1,6 +1,7 @@
 """Writes: append, insert-if-absent, replace-by-key and CSV export, on Parquet folders."""
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from basketry.session import drop_path, path_exists, spool
@@ -21,16 +22,33 @@ def _by_folder(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
+def _observed(seen: Observation, name: str, when_empty):
+    """A value observed while writing.
+
+    AQE drops the metrics node together with an input it finds empty at run time; then
+    nothing was written.
+    """
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return when_empty
+
+
 def append(df: DataFrame, path: str, columns: list[str], partition_by: list[str] | None = None) -> int:
-    """Append the named columns; the count is taken while writing, not by a second pass."""
+    """Append the named columns; the count is taken while writing, not by a second pass.
+
+    It is observed above the last exchange, in the writing tasks themselves: each counts
+    once, however often an earlier stage had to run again.
+    """
     seen = Observation()
-    out = df.select(*columns).observe(seen, F.count(F.lit(1)).alias("rows"))
+    out = df.select(*columns)
+    if partition_by:
+        out = _by_folder(out, partition_by)
+    writer = out.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
     if partition_by:
-        writer = _by_folder(out, partition_by).write.mode("append").partitionBy(*partition_by)
-    else:
-        writer = out.write.mode("append")
+        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return int(seen.get["rows"])
+    return int(_observed(seen, "rows", 0))
 
 
 def absent_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,11 +92,11 @@ def upsert(spark: SparkSession, updates: DataFrame, path: str, keys: list[str],
     merged = kept.unionByName(updates)
     seen = Observation()
     (
-        _by_folder(merged.observe(seen, F.collect_set(partition).alias("written")), [partition])
+        _by_folder(merged, [partition]).observe(seen, F.collect_set(partition).alias("written"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )
-    for value in set(touched) - set(seen.get["written"]):
+    for value in set(touched) - set(_observed(seen, "written", [])):
         drop_path(spark, f"{path}/{partition}={value}")
 
 

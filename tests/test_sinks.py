@@ -32,7 +32,16 @@ def test_row_hash_ignores_column_order_and_reads_null_as_empty(spark):
     assert c.select(row_hash(c)).first() != a.select(row_hash(a)).first()
 
 
-def test_insert_absent_is_idempotent(spark, tmp_path):
+@pytest.fixture(params=["default", "no broadcast"])
+def join_style(spark, request):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if request.param == "no broadcast":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_insert_absent_is_idempotent(spark, tmp_path, join_style):
     path = str(tmp_path / "t")
     rows = spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit("first").alias("v"))
     assert sinks.insert_absent(spark, rows.filter("k < '5'"), path, ["k"]) == 5
@@ -42,7 +51,7 @@ def test_insert_absent_is_idempotent(spark, tmp_path):
     assert len(got) == 10 and got["0"] == "first" and got["9"] == "second"
 
 
-def test_upsert_rewrites_only_touched_partitions_and_empties_old_ones(spark, tmp_path):
+def test_upsert_rewrites_only_touched_partitions_and_empties_old_ones(spark, tmp_path, join_style):
     path = str(tmp_path / "t")
     first = spark.createDataFrame([("a", 1, "m1"), ("b", 1, "m2"), ("c", 1, "m2"), ("d", 1, "m3")], "k string, v int, m string")
     sinks.upsert(spark, first, path, ["k"], "m")
