@@ -104,6 +104,15 @@ def skus_at_80(star: Star) -> DataFrame:
     )
 
 
+def concentration_summary(star: Star, top_n: int = 10) -> DataFrame:
+    """The leading SKU, its share, and how many SKUs make 80 % of revenue, in one pass."""
+    first = F.min_by(F.struct("product_name", "revenue_pct"), F.struct("revenue_rank", "sku_id"))
+    reach = F.min(F.when(F.col("cumulative_revenue_pct") >= 0.80, F.col("revenue_rank")))
+    return views.sku_revenue_pareto(star).agg(first.alias("t"), reach.alias("skus_covering_80pct_revenue")).select(
+        F.col("t.product_name").alias("top_sku"), F.col("t.revenue_pct").alias("top_sku_revenue_pct"),
+        "skus_covering_80pct_revenue", F.lit(top_n).alias("top_n"))
+
+
 def concentration_scenario(star: Star, top_n: int = 10, shock_pct: float = 20.0) -> DataFrame:
     """Effect on total revenue when the top SKUs lose ``shock_pct`` per cent."""
     if not 1 <= top_n <= 500 or not 0 <= shock_pct <= 100:

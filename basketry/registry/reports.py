@@ -89,6 +89,11 @@ def queries() -> dict[str, Query]:
         on_star(R.concentration, 25), star("SELECT * FROM v_sku_revenue_pareto ORDER BY revenue_rank, sku_id LIMIT 25"))
     q["rep_skus_at_80"] = Query(on_star(R.skus_at_80), star(
         "SELECT MIN(revenue_rank) AS skus_covering_80pct_revenue FROM v_sku_revenue_pareto WHERE cumulative_revenue_pct >= 0.80"))
+    q["rep_concentration_summary"] = Query(on_star(R.concentration_summary, 10), star("""
+      SELECT product_name AS top_sku, revenue_pct AS top_sku_revenue_pct,
+             (SELECT MIN(revenue_rank) FROM v_sku_revenue_pareto WHERE cumulative_revenue_pct >= 0.80) AS skus_covering_80pct_revenue,
+             10 AS top_n
+      FROM v_sku_revenue_pareto ORDER BY revenue_rank, sku_id LIMIT 1"""))
     q["rep_concentration_scenario"] = Query(on_star(R.concentration_scenario, 10, 25.0), star(f"""
       SELECT 10 AS top_n, CAST(25.0 AS DOUBLE) AS shock_pct, {dbl('total')} AS baseline_total_revenue, {dbl('top')} AS top_n_revenue_baseline,
              {dbl('shocked')} AS top_n_revenue_shocked, {dbl('total + shocked - top')} AS scenario_total_revenue,

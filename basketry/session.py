@@ -61,6 +61,11 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{_local_scratch[app_id]}/{app_id}"
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete the tables this session has written; its frames cannot be read afterwards."""
+    return drop_path(spark, scratch_root(spark))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())

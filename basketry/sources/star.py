@@ -242,14 +242,16 @@ def load_star(spark: SparkSession, sf_dir: str) -> Star:
     """Star over ``sf_dir``; the fact is written on first use and read afterwards."""
     configure(spark)
     built = _stars.setdefault(spark, {})
-    if sf_dir not in built:
-        product, store, region = product_dim(spark, sf_dir), store_dim(spark, sf_dir), region_dim(spark, sf_dir)
-        path = f"{session_folder(spark, sf_dir)}/sales"
-        if not path_exists(spark, f"{path}/_SUCCESS"):
-            write_sales(enriched_sales(sales_fact(spark, sf_dir), product, store, region), path)
-        built[sf_dir] = Star(
-            sales=spark.read.parquet(path),
-            product=product, store=store, region=region,
-            calendar=calendar_dim(spark), weather=weather_dim(spark, sf_dir),
-        )
+    path = f"{session_folder(spark, sf_dir)}/sales"
+    written = path_exists(spark, f"{path}/_SUCCESS")
+    if sf_dir in built and written:
+        return built[sf_dir]
+    product, store, region = product_dim(spark, sf_dir), store_dim(spark, sf_dir), region_dim(spark, sf_dir)
+    if not written:
+        write_sales(enriched_sales(sales_fact(spark, sf_dir), product, store, region), path)
+    built[sf_dir] = Star(
+        sales=spark.read.parquet(path),
+        product=product, store=store, region=region,
+        calendar=calendar_dim(spark), weather=weather_dim(spark, sf_dir),
+    )
     return built[sf_dir]
