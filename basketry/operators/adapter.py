@@ -33,7 +33,7 @@ SPECS = {
         "pos_system_a",
         {"source_txn_id": "txn_id", "txn_timestamp": "ts", "sku": "sku", "quantity": "qty",
          "unit_price": "unit_price", "discount_amount": "disc", "store_id": "store_id"},
-        {"txn_timestamp": {"type": "datetime", "format": "MM/dd/yyyy HH:mm"},
+        {"txn_timestamp": {"type": "datetime", "format": "M/d/yyyy H:m"},  # one or two digits
          "unit_price": {"type": "currency_string", "strip": "$"}},
     ),
     "pos_system_b": Spec(
@@ -56,7 +56,9 @@ SPECS = {
 
 
 def number(c: Column) -> Column:
-    return c.try_cast("double")
+    """As double; text that is no number, and NaN, give NULL."""
+    n = c.try_cast("double")
+    return F.when(~F.isnan(n), n)
 
 
 def _datetime(c: Column, t: dict, rate: float) -> Column:

@@ -51,15 +51,17 @@ def test_bad_date_is_null_and_missing_discount_is_zero(spark):
     assert r.txn_timestamp is None and r.discount_amount == 0.0
 
 
+def test_unpadded_dates_and_nan(spark):
+    r = one(spark, "pos_system_a", ("A", "3/1/2026 9:05", "S", 1, "$NaN", float("nan"), "X"))
+    assert r.txn_timestamp == dt.datetime(2026, 3, 1, 9, 5) and r.unit_price is None and r.discount_amount == 0.0
+    assert one(spark, "pos_system_a", ("A", "13/01/2026 09:05", "S", 1, "$1", 0.0, "X")).txn_timestamp is None
+
+
 def test_specs_are_checked_before_any_job():
     with pytest.raises(ValueError, match="unknown transform"):
-        compile_spec_safely(Spec("x", {"sku": "s"}, {"sku": {"type": "nope"}}), "x")
+        compile_spec(Spec("x", {"sku": "s"}, {"sku": {"type": "nope"}}), "x")
     with pytest.raises(ValueError, match="spec is for"):
-        compile_spec_safely(SPECS["pos_system_a"], "pos_system_b")
-
-
-def compile_spec_safely(spec, source):
-    return compile_spec(spec, source)
+        compile_spec(SPECS["pos_system_a"], "pos_system_b")
 
 
 @pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
