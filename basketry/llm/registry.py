@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import mixing, secret_scan, url_filter
+from basketry.llm import decontaminate, mixing, secret_scan, url_filter
 from basketry.registry.query import Query
 
 
@@ -11,6 +11,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_overlaps(docs, _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("overlap.spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select(
+        "doc_id", F.col("overlap.n_words").alias("n_words"), n_hit.alias("n_hit"),
+        F.size("overlap.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("overlap.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -66,6 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": Query(op1_decontaminate),
         "op4_source_mix": Query(op4_source_mix, OP4_SQL),
         "op6_url_filter": Query(op6_url_filter),
         "op10_secret_scan": Query(op10_secret_scan),
