@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import decontaminate, mixing, secret_scan, url_filter
+from basketry.llm import decontaminate, language_id, mixing, secret_scan, url_filter
 from basketry.registry.query import Query
 
 
@@ -21,6 +21,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("overlap.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    apart = language_id.held_out("doc_id", 4, 2)
+    model = language_id.fit(docs.filter(~apart).select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text", apart.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -77,6 +85,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": Query(op1_decontaminate),
+        "op2_language_id": Query(op2_language_id),
         "op4_source_mix": Query(op4_source_mix, OP4_SQL),
         "op6_url_filter": Query(op6_url_filter),
         "op10_secret_scan": Query(op10_secret_scan),
