@@ -43,7 +43,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(x: np.ndarray | int) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers, after the SplitMix generator."""
-    x = np.asarray(x, np.uint64)
+    x = np.atleast_1d(np.asarray(x, np.uint64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import decontaminate, language_id, mixing, secret_scan, url_filter
+from basketry.llm import decontaminate, language_id, mixing, prefix_tree_join, secret_scan, url_filter
 from basketry.registry.query import Query
 
 
@@ -29,6 +29,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree_join.similar_components(_read(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": Query(op1_decontaminate),
         "op2_language_id": Query(op2_language_id),
+        "op3_ngram_join": Query(op3_ngram_join),
         "op4_source_mix": Query(op4_source_mix, OP4_SQL),
         "op6_url_filter": Query(op6_url_filter),
         "op10_secret_scan": Query(op10_secret_scan),
