@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import decontaminate, language_id, mixing, prefix_tree_join, secret_scan, url_filter
+from basketry.llm import decontaminate, language_id, mixing, order_minhash, prefix_tree_join, secret_scan, url_filter
 from basketry.registry.query import Query
 
 
@@ -74,6 +74,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_edits(_read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
@@ -93,5 +97,6 @@ def queries() -> dict[str, Query]:
         "op3_ngram_join": Query(op3_ngram_join),
         "op4_source_mix": Query(op4_source_mix, OP4_SQL),
         "op6_url_filter": Query(op6_url_filter),
+        "op7_order_minhash": Query(op7_order_minhash),
         "op10_secret_scan": Query(op10_secret_scan),
     }
