@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import decontaminate, language_id, mixing, order_minhash, prefix_tree_join, secret_scan, url_filter
+from basketry.llm import decontaminate, language_id, mixing, order_minhash, prefix_tree_join, secret_scan, suffix_dedup, url_filter
 from basketry.registry.query import Query
 
 
@@ -78,6 +78,11 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_strings(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
@@ -98,5 +103,6 @@ def queries() -> dict[str, Query]:
         "op4_source_mix": Query(op4_source_mix, OP4_SQL),
         "op6_url_filter": Query(op6_url_filter),
         "op7_order_minhash": Query(op7_order_minhash),
+        "op8_suffix_dedup": Query(op8_suffix_dedup),
         "op10_secret_scan": Query(op10_secret_scan),
     }
