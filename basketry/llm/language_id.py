@@ -112,7 +112,7 @@ _tables: dict[int, Pieces] = {}
 
 def _pieces(texts: list[bytes]) -> Pieces:
     """The table of a vocabulary, built once in each Python worker."""
-    key = hash((len(texts), texts[0] if texts else b"", texts[-1] if texts else b""))
+    key = hash(tuple(texts))
     if key not in _tables:
         _tables.clear()
         _tables[key] = Pieces(texts)

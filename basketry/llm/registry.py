@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import decontaminate, language_id, mixing, order_minhash, prefix_tree_join, secret_scan, suffix_dedup, url_filter
+from basketry.llm import decontaminate, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan, suffix_dedup, url_filter
 from basketry.registry.query import Query
 
 
@@ -70,6 +70,13 @@ FROM k
 """
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = language_id.held_out("doc_id", 10, 0)
+    model, counts = ngram_lm.fit(docs.filter(~apart).select("text"))
+    return ngram_lm.score_texts(docs.select("doc_id", apart.alias("held_out"), "text"), model, counts)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
@@ -101,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": Query(op2_language_id),
         "op3_ngram_join": Query(op3_ngram_join),
         "op4_source_mix": Query(op4_source_mix, OP4_SQL),
+        "op5_ngram_lm": Query(op5_ngram_lm),
         "op6_url_filter": Query(op6_url_filter),
         "op7_order_minhash": Query(op7_order_minhash),
         "op8_suffix_dedup": Query(op8_suffix_dedup),
