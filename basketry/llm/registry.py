@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import decontaminate, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan, suffix_dedup, url_filter
+from basketry.llm import chaining, decontaminate, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan, suffix_dedup, url_filter
 from basketry.registry.query import Query
 
 
@@ -90,6 +90,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
@@ -112,5 +116,6 @@ def queries() -> dict[str, Query]:
         "op6_url_filter": Query(op6_url_filter),
         "op7_order_minhash": Query(op7_order_minhash),
         "op8_suffix_dedup": Query(op8_suffix_dedup),
+        "op9_chained_passages": Query(op9_chained_passages),
         "op10_secret_scan": Query(op10_secret_scan),
     }
