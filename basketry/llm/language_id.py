@@ -336,6 +336,24 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
     return ready.mapInArrow(predict, ready.schema).drop("_lettered")
 
 
+#: Least posterior probability of a document that is kept.
+MIN_SCORE = 0.5
+
+
+def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is told, with the same columns.
+
+    The model learns from the labels of these documents.  Rows that are ``und`` go, and rows whose
+    best language is less probable than ``min_score``.  Without any label nothing can be learned
+    and only texts without letters go.
+    """
+    model = fit(docs, text, lang, doc_id)
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = identify(docs, model, text, "_lang_pred", "_lang_score")
+    return marked.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*docs.columns)
+
+
 def held_out(row_id, modulus: int, remainder: int):
     """Whether the CRC-32 of the id as text has that remainder; a NULL id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(row_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -353,9 +353,10 @@ def _sets_for(sets: DataFrame | None, pairs: DataFrame, filled: DataFrame, docs:
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of the smallest id stays.
 
-    Rows without words stay.  Rows that repeat an id keep one row per id and text; rows with a NULL
-    id stay unless their text is in a component that has an id.
+    Rows without words stay.  Of rows equal in id and text one stays; rows with a NULL id stay
+    unless their text is in a component that has an id.
     """
     found = similar_components(docs, text, doc_id, **options)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates([doc_id, text])
+    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]), "left_semi")
+    return kept.withColumn("_same", F.xxhash64(text)).dropDuplicates([doc_id, "_same"]).drop("_same")

@@ -5,9 +5,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, secret_scan
+from basketry.llm import decontaminate, language_id, mixing, prefix_tree_join, secret_scan
 from basketry.session import spool
 
+#: Words of a shingle and percentage of similarity of near copies.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told go on; letterless and undecided ones go."""
+    return language_id.keep_identified(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return prefix_tree_join.deduplicate(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live credentials are masked in the text; every document stays."""
@@ -20,6 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify),
+    ("n-gram Jaccard join", deduplicate),
+    ("benchmark decontamination", clean),
     ("secret scans", mask),
     ("mixing sources", mix),
 ]
