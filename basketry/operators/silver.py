@@ -16,7 +16,7 @@ from basketry.operators import quality
 from basketry.operators.adapter import CANONICAL
 from basketry.operators.latest import latest_per_key
 from basketry.session import spool
-from basketry.sources.sinks import append, read_or_empty, upsert
+from basketry.sources.sinks import append, read_or_empty, replace_run, upsert
 
 KEY = ["source_system", "source_txn_id"]
 NEWEST = ["ingested_at", "batch_id", "ingest_seq"]
@@ -84,9 +84,17 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def with_existing(current: DataFrame, silver: DataFrame) -> DataFrame:
-    """Current rows and the stored rows of the same keys, told apart by ``origin``."""
-    keys = current.select(*KEY).distinct()
-    stored = silver.join(keys, KEY, "left_semi").withColumns({"origin": F.lit("existing"), ARRIVAL: F.lit(0)})
+    """Current rows and the stored rows of the same keys, told apart by ``origin``.
+
+    A stored row of the very landing that is being taken again (a replay) does not compete
+    with itself.
+    """
+    landings = current.select(*KEY, *[F.col(c).alias(f"_{c}") for c in NEWEST]).distinct()
+    keys = landings.select(*KEY).distinct()
+    same = [F.col(f"s.{c}") == F.col(f"l.{c}") for c in KEY] + [F.col(f"s.{c}").eqNullSafe(F.col(f"l._{c}")) for c in NEWEST]
+    contested = silver.join(keys, KEY, "left_semi").select(*silver.columns)
+    stored = contested.alias("s").join(landings.alias("l"), same, "left_anti")
+    stored = stored.withColumns({"origin": F.lit("existing"), ARRIVAL: F.lit(0)})
     fresh = current.withColumns({"origin": F.lit("current"), ARRIVAL: F.lit(1)})
     return fresh.unionByName(stored, allowMissingColumns=True)
 
@@ -162,9 +170,10 @@ def process_batch(spark: SparkSession, lake: Lake, adapted: DataFrame, product:
     silver = read_or_empty(spark, lake.silver, SILVER_SCHEMA)
     rows = spool(classify(adapted, silver, product, month, now), "outcomes")
 
-    append(rows.filter("outcome = 'rejected'").withColumn("rejected_at", F.lit(now)), lake.rejected, REJECTED_COLUMNS)
+    # One folder per run: a run that is replayed after a crash replaces what it left.
+    replace_run(rows.filter("outcome = 'rejected'").withColumn("rejected_at", F.lit(now)), lake.rejected, REJECTED_COLUMNS, run_id)
     contest = rows.filter("outcome <> 'rejected'")
-    append(audit_rows(contest, now), lake.audit, AUDIT_COLUMNS)
+    replace_run(audit_rows(contest, now), lake.audit, AUDIT_COLUMNS, run_id)
     # A stored row that keeps its place needs no rewrite.
     changed = contest.filter("outcome = 'loaded' and origin = 'current'")
     upsert(spark, as_silver(changed), lake.silver, KEY, PARTITION)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from basketry.functions.text import row_hash
 from basketry.operators import gold, silver as S
 from basketry.operators.adapter import adapt_all
-from basketry.sources.sinks import read_or_empty
+from basketry.sources import sinks
 
 # Keeps dedup state on disk, so it may outgrow the executors' memory.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
@@ -34,32 +34,40 @@ def _finish(query: StreamingQuery) -> None:
 
 
 def land_stream(stream: DataFrame, path: str, checkpoint: str, source_system: str, batch_id: str) -> None:
-    """Append arriving rows with audit columns. The file sink commits each batch once."""
-    rows = stream.withColumns({
-        "source_system": F.lit(source_system),
-        "batch_id": F.lit(batch_id),
-        "ingested_at": F.current_timestamp(),
-        "row_hash": row_hash(stream),
-    })
+    """Append arriving rows with all audit columns of landing, one batch id per micro-batch.
+
+    ``source_file`` comes from the reader, ``ingest_seq`` numbers the rows of a micro-batch.  Each
+    micro-batch has its own folder, so one that is replayed replaces itself.
+    """
+    hashed = row_hash(stream)
+    arriving = stream.withColumns({"source_file": F.col("_metadata.file_path"), "row_hash": hashed})
+
+    def land(rows: DataFrame, batch_number: int) -> None:
+        sinks.replace_run(
+            rows.withColumns({
+                "source_system": F.lit(source_system), "batch_id": F.lit(f"{batch_id}_{batch_number}"),
+                "ingested_at": F.current_timestamp(), "ingest_seq": F.monotonically_increasing_id()}),
+            path, [*rows.columns, "source_system", "batch_id", "ingested_at", "ingest_seq"], f"{batch_id}_{batch_number}")
+
     _finish(
-        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start())
+        arriving.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start())
 
 
 def chain_stream(landed: dict[str, DataFrame], lake: S.Lake, checkpoint: str, product: DataFrame, store: DataFrame,
-                 calendar: DataFrame, now: dt.datetime) -> None:
+                 calendar: DataFrame, now: dt.datetime, name: str) -> None:
     """Every micro-batch of landed rows through the clean layer into the fact.
 
-    A batch that was logged already is skipped, so a restart after a crash between the
-    log and the checkpoint does no harm.
+    ``name`` tells the streams of a lake apart: with the batch number it is the run id.  A batch
+    that was logged is not cleaned again, but it is promoted again, which adds only what is
+    missing; so a crash at any step is made good by the restart.
     """
     def take(rows: DataFrame, batch_number: int) -> None:
         spark = rows.sparkSession
-        run_id = f"stream_{batch_number}"
-        logged = read_or_empty(spark, lake.runs, T._parse_datatype_string(S.RUN_SCHEMA))
-        if not logged.filter(F.col("run_id") == run_id).isEmpty():
-            return
-        S.process_batch(spark, lake, rows, product, None, run_id, now)
+        run_id = f"{name}_{batch_number}"
+        logged = sinks.read_or_empty(spark, lake.runs, T._parse_datatype_string(S.RUN_SCHEMA))
+        if logged.filter(F.col("run_id") == run_id).isEmpty():
+            S.process_batch(spark, lake, rows, product, None, run_id, now)
         silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
         gold.promote(spark, lake, S.rows_of_batches(silver, rows), product, store, calendar)
 

@@ -82,3 +82,46 @@ def test_unknown_format_is_refused(spark):
 
     with pytest.raises(ValueError):
         read_feed(spark, "pos_system_a", "x", "xml")
+
+
+def rows_of(spark, path, schema):
+    return sorted((tuple(r) for r in spark.read.schema(schema).parquet(path).select("k", "v", "m").collect()), key=repr)
+
+
+@pytest.mark.parametrize("folder", [None, "x:y", "a b/c=d%", "plain"])
+def test_upsert_keeps_and_empties_odd_folders(spark, tmp_path, join_style, folder):
+    path, schema = str(tmp_path / "t"), "k string, v int, m string"
+    first = spark.createDataFrame([("a", 1, folder), ("b", 1, folder), ("c", 1, "2001-01")], schema)
+    sinks.upsert(spark, first, path, ["k"], "m")
+    sinks.upsert(spark, spark.createDataFrame([("a", 2, folder)], schema), path, ["k"], "m")
+    assert rows_of(spark, path, first.schema) == sorted([("a", 2, folder), ("b", 1, folder), ("c", 1, "2001-01")], key=repr)
+    sinks.upsert(spark, spark.createDataFrame([("a", 3, "2001-01"), ("b", 3, "2001-01")], schema), path, ["k"], "m")
+    assert rows_of(spark, path, first.schema) == [("a", 3, "2001-01"), ("b", 3, "2001-01"), ("c", 1, "2001-01")]
+    assert [f.name for f in (tmp_path / "t").glob("m=*")] == ["m=2001-01"]
+
+
+def test_upsert_refuses_a_key_twice(spark, tmp_path):
+    twice = spark.createDataFrame([("a", 1, "m"), ("a", 2, "n")], "k string, v int, m string")
+    with pytest.raises(ValueError):
+        sinks.upsert(spark, twice, str(tmp_path / "t"), ["k"], "m")
+
+
+def test_upsert_of_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, v int, m string"
+    first = spark.createDataFrame([("a", 1, "m")], schema)
+    sinks.upsert(spark, first, path, ["k"], "m")
+    sinks.upsert(spark, spark.createDataFrame([], schema), path, ["k"], "m")
+    assert rows_of(spark, path, first.schema) == [("a", 1, "m")]
+
+
+def test_an_unreadable_count_is_not_taken_for_nothing(spark, tmp_path):
+    from py4j.protocol import Py4JJavaError
+
+    class Lost:
+        @property
+        def get(self):
+            raise Py4JJavaError("", spark._jvm.java.lang.RuntimeException("lost"))
+
+    with pytest.raises(Exception):
+        sinks._rows_written(Lost(), spark.range(3))
+    assert sinks._rows_written(Lost(), spark.range(0)) == 0

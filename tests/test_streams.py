@@ -1,6 +1,7 @@
 """Streams reach the batch result, in several micro-batches and after a restart."""
 import datetime as dt
 
+import pytest
 from conftest import NOW
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def test_chain_stream_takes_files_batch_by_batch(spark, dims, tmp_path):
 
     def run():
         stream = streams.file_stream(spark, path, schema, max_files=1)
-        streams.chain_stream({"pos_system_b": stream}, lake, ck, *dims, NOW)
+        streams.chain_stream({"pos_system_b": stream}, lake, ck, *dims, NOW, "stream")
 
     run()
     feed_file(spark, path, [row(2, 999), row(4, 400)], "b2", at + dt.timedelta(days=1))
@@ -46,4 +47,42 @@ def test_landing_stream_lands_each_file_once(spark, tmp_path):
         spark.range(n).coalesce(1).write.mode("append").parquet(source)
         streams.land_stream(streams.file_stream(spark, source, schema), out, str(tmp_path / "ck"), "s", "b")
     got = spark.read.parquet(out)
-    assert got.count() == 7 and {"source_system", "batch_id", "ingested_at", "row_hash"} <= set(got.columns)
+    assert got.count() == 7 and {"source_system", "source_file", "batch_id", "ingested_at", "row_hash", "ingest_seq"} <= set(got.columns)
+    per_batch = got.groupBy("batch_id").agg(F.count("*").alias("n"), F.count_distinct("ingest_seq").alias("d")).orderBy("n").collect()
+    assert [(r.n, r.d) for r in per_batch] == [(3, 3), (4, 4)]
+
+
+def pos_b(i, cents):
+    return (f"B-{i}", "2026-03-10 08:15:00", "SKU-B", 2, cents, 0, "STORE-PHYS")
+
+
+def chain(spark, path, schema, lake, checkpoint, dims, name):
+    streams.chain_stream({"pos_system_b": streams.file_stream(spark, path, schema)}, lake, checkpoint, *dims, NOW, name)
+
+
+def test_two_streams_into_one_lake(spark, dims, tmp_path):
+    lake = S.Lake(str(tmp_path / "lake"))
+    for n in (1, 2):
+        path = str(tmp_path / f"in{n}")
+        schema = feed_file(spark, path, [pos_b(n, 100 * n)], f"b{n}", dt.datetime(2026, 3, 11))
+        chain(spark, path, schema, lake, str(tmp_path / f"ck{n}"), dims, f"stream{n}")
+    assert spark.read.parquet(lake.silver).count() == 2 and spark.read.parquet(lake.fact).count() == 2
+    assert {r.run_id for r in spark.read.parquet(lake.runs).collect()} == {"stream1_0", "stream2_0"}
+
+
+@pytest.mark.parametrize("step", ["silver", "log", "promote"])
+def test_crash_at_a_step_is_made_good(spark, dims, tmp_path, monkeypatch, step):
+    path, lake, ck = str(tmp_path / "in"), S.Lake(str(tmp_path / "lake")), str(tmp_path / "ck")
+    schema = feed_file(spark, path, [pos_b(1, 100), pos_b(2, 200), pos_b(2, 200), pos_b(3, -5)], "b1", dt.datetime(2026, 3, 11))
+    target = {"silver": (S, "upsert"), "log": (S, "append"), "promote": (streams.gold, "promote")}[step]
+
+    def fail(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(*target, fail)
+        with pytest.raises(Exception):
+            chain(spark, path, schema, lake, ck, dims, "s")
+    chain(spark, path, schema, lake, ck, dims, "s")
+    count = lambda p: spark.read.parquet(p).count()
+    assert (count(lake.silver), count(lake.fact), count(lake.rejected), count(lake.audit), count(lake.runs)) == (2, 2, 1, 1, 1)
