@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.session import spool
 
-ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 1024
+#: Buckets per task slot of the cluster; a bucket is one window's work.
+BUCKETS_PER_SLOT = 4
 
 
 def with_bucket(values: DataFrame, value: str, buckets: int) -> DataFrame:
@@ -25,7 +25,7 @@ def with_bucket(values: DataFrame, value: str, buckets: int) -> DataFrame:
     """
     cuts = [i / buckets for i in range(1, buckets)]
     point = F.col(value).cast("double")
-    edges = values.agg(F.percentile_approx(point, cuts, max(1000, buckets * 20))).first()[0] or []
+    edges = values.agg(F.percentile_approx(point, cuts, max(1000, buckets * 20))).first()[0] or [0.0]  # any edge will do
     splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_point", outputCol="_at")
     return (
@@ -44,21 +44,13 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<measure>_upto`` (inclusive) and ``<measure>_all`` in ``value`` order.
 
-    ``values`` must hold one row per (by, value), with no NULL value.  The number of
-    buckets follows the row count; a table that fits one bucket runs one plain window.
+    ``values`` must hold one row per (by, value), with no NULL value.  There are as many buckets as
+    the cluster's parallelism asks for, and every table takes this one path.
     """
     by = by or []
     order = F.col(value).desc() if descending else F.col(value).asc()
     values = spool(values, "values")
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, values.count() // ROWS_PER_BUCKET + 1)
-    if buckets == 1:
-        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return values.select(
-            "*",
-            *[F.sum(m).over(upto).alias(f"{m}_upto") for m in measures],
-            *[F.sum(m).over(Window.partitionBy(*by)).alias(f"{m}_all") for m in measures],
-        )
+    buckets = buckets or max(2, BUCKETS_PER_SLOT * values.sparkSession.sparkContext.defaultParallelism)
     bucketed = with_bucket(values, value, buckets)
 
     inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -45,7 +45,10 @@ def products_by_revenue(star: Star, n: int = 10, lowest: bool = False) -> DataFr
 
 
 def by_attribute(star: Star, *columns: str) -> DataFrame:
-    return star.sales.groupBy(*columns).agg(_net()).orderBy(F.desc(NET), *columns)
+    """Questions about products count current ones only; others count every sale."""
+    of_product = set(columns) & {"category", "brand"}
+    sales = star.sales.filter("is_current") if of_product else star.sales
+    return sales.groupBy(*columns).agg(_net()).orderBy(F.desc(NET), *columns)
 
 
 def category_quarter(star: Star, year: int, quarter: int) -> DataFrame:
@@ -54,13 +57,13 @@ def category_quarter(star: Star, year: int, quarter: int) -> DataFrame:
 
 
 def category_transactions(star: Star, category: str) -> DataFrame:
-    return star.sales.filter(F.col("category") == category).agg(count_of().alias("transaction_count"))
+    return star.sales.filter(F.col("is_current") & (F.col("category") == category)).agg(count_of().alias("transaction_count"))
 
 
 def trailing_top_products(star: Star, as_of: dt.date, days: int = 30, n: int = 10) -> DataFrame:
     since = F.date_sub(F.lit(as_of), days)
     first_year = (as_of - dt.timedelta(days=days)).year
-    recent = star.sales.filter(
+    recent = star.sales.filter("is_current").filter(
         F.col("sale_year").between(first_year, as_of.year)
         & (F.col("transaction_date") >= since) & (F.col("transaction_date") <= F.lit(as_of))
     )

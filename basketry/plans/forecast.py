@@ -225,7 +225,9 @@ def _error_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def check_horizon(horizon: int) -> int:
-    return max(1, min(int(horizon), MAX_HORIZON))
+    if not 1 <= int(horizon) <= MAX_HORIZON:
+        raise ValueError(f"horizon must be from 1 to {MAX_HORIZON} months")
+    return int(horizon)
 
 
 def forecast_ci(arrays: DataFrame, models: DataFrame, horizon: int = 3) -> DataFrame:

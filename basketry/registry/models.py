@@ -14,7 +14,7 @@ from basketry.session import spool
 from basketry.sources.star import load_star, session_folder
 
 AS_OF = dt.date(2001, 10, 20)
-TREES, DEPTH = 12, 5  # kept small here; ``train`` defaults to 40 trees of depth 6
+TREES, DEPTH = 40, 6
 
 _memo: WeakKeyDictionary = WeakKeyDictionary()
 
@@ -60,12 +60,10 @@ def shown(rows: DataFrame, *extra: str) -> DataFrame:
 
 
 FEATURE_SQL = f"""
-  SELECT st.transaction_id, st.transaction_date, st.quantity, {sql_dbl('st.unit_price')} AS unit_price,
-         {sql_dbl('st.discount_amount')} AS discount_amount, {sql_dbl('st.net_amount')} AS net_amount, {sql_dbl('pm.list_price')} AS list_price,
-         COALESCE({ratio('st.discount_amount', 'st.total_amount', 6)}, 0) AS discount_rate, pm.category, pm.brand, sr.store_type,
-         sc.is_holiday, sc.season, sc.month, sc.quarter, sc.marketing_event
-  FROM sales_transactions st JOIN product_master pm ON st.sku_id = pm.sku_id AND pm.is_current = TRUE
-  JOIN store_reference sr ON st.store_id = sr.store_id JOIN seasonal_calendar sc ON st.transaction_date = sc.date"""
+  SELECT transaction_id, transaction_date, quantity, category, brand, store_type, season, month, quarter, is_holiday, marketing_event,
+         {sql_dbl('unit_price')} AS unit_price, {sql_dbl('list_price')} AS list_price, {sql_dbl('discount_amount')} AS discount_amount,
+         {sql_dbl('net_amount')} AS net_amount, COALESCE({ratio('discount_amount', 'total_amount', 6)}, 0) AS discount_rate
+  FROM live_sales"""
 TRAINING = f"""feature_rows AS ({FEATURE_SQL}),
 new_rows AS (
   SELECT * FROM feature_rows WHERE transaction_date BETWEEN DATE '2001-10-01' AND DATE '2001-10-31'
@@ -215,11 +213,9 @@ def dash_forecast_band(spark, sf_dir):
 
 
 SLICES = f"""slice_months AS (
-  SELECT pm.category, rr.region_id, rr.region_name, CAST(date_trunc('month', st.transaction_date) AS DATE) AS month_start,
-         {sql_dbl('SUM(st.net_amount)')} AS net
-  FROM sales_transactions st JOIN product_master pm ON st.sku_id = pm.sku_id AND pm.is_current = TRUE
-  JOIN store_reference sr ON st.store_id = sr.store_id JOIN regional_reference rr ON sr.region_id = rr.region_id
-  WHERE st.transaction_date < DATE '2001-10-01' GROUP BY ALL
+  SELECT category, region_id, region_name, CAST(date_trunc('month', transaction_date) AS DATE) AS month_start,
+         {sql_dbl('SUM(net_amount)')} AS net
+  FROM live_sales WHERE transaction_date < DATE '2001-10-01' GROUP BY ALL
 ),
 slice_series AS (
   SELECT s.category, s.region_id, s.region_name, CAST(g.m AS DATE) AS month_start, COALESCE(v.net, 0) AS net_revenue
@@ -255,13 +251,13 @@ def queries() -> dict[str, Query]:
             FROM (SELECT c.*, CAST((SELECT COUNT(*) FROM edges WHERE c.net_amount > e) AS INTEGER) AS bin FROM combined c))""", TRAINING, """edges AS (
         SELECT DISTINCT CAST(CAST(unnest(quantile_cont(net_amount, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS DECIMAL(38,6)) AS DOUBLE) AS e
         FROM combined)"""))
-    err = "CAST(st.net_amount - CAST(st.quantity * pm.list_price AS DECIMAL(14,2)) AS DECIMAL(15,2))"
+    err = "CAST(net_amount - CAST(quantity * list_price AS DECIMAL(14,2)) AS DECIMAL(15,2))"
     q["ml_evaluate"] = Query(ml_evaluate, star(f"""
       SELECT {sql_big('n')} AS rows, CAST(CAST(sqrt(sse / n) AS DECIMAL(38,4)) AS DOUBLE) AS rmse, CAST(CAST(sae / n AS DECIMAL(38,4)) AS DOUBLE) AS mae,
              CAST(CAST(1 - sse / (syy - sy * sy / n) AS DECIMAL(38,6)) AS DOUBLE) AS r2
       FROM (SELECT COUNT(*) AS n, {sql_dbl(f'SUM({err} * {err})')} AS sse, {sql_dbl(f'SUM(abs({err}))')} AS sae,
-                   {sql_dbl('SUM(st.net_amount)')} AS sy, {sql_dbl('SUM(st.net_amount * st.net_amount)')} AS syy
-            FROM sales_transactions st JOIN product_master pm ON st.sku_id = pm.sku_id)"""))
+                   {sql_dbl('SUM(net_amount)')} AS sy, {sql_dbl('SUM(net_amount * net_amount)')} AS syy
+            FROM all_sales)"""))
     for name in ("ml_train_revenue", "ml_train_demand", "ml_importance", "ml_predict", "rep_leakage_opportunity", "rep_band_elasticity",
                  "rep_custom_rate_demand", "ts_order_grid", "ts_forecast_ci", "ts_fit_metrics", "rep_forecast", "rep_revenue_forecast",
                  "dash_forecast_band"):

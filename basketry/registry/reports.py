@@ -11,20 +11,12 @@ from basketry.sources.star import load_star
 
 AS_OF = dt.date(2001, 6, 15)
 
-NET = f"{dbl('SUM(st.net_amount)')} AS net_revenue"
-PM = "JOIN product_master pm ON st.sku_id = pm.sku_id AND pm.is_current = TRUE"
-SR = "JOIN store_reference sr ON st.store_id = sr.store_id"
-RR = "JOIN regional_reference rr ON sr.region_id = rr.region_id"
-SC = "JOIN seasonal_calendar sc ON st.transaction_date = sc.date"
-WO = "JOIN weather_overlay wo ON wo.region_id = sr.region_id AND wo.date = st.transaction_date"
-SALES = "FROM sales_transactions st"
-
-DAILY = f"""daily_net AS (
-  SELECT st.transaction_date, SUM(st.net_amount) AS net {SALES} GROUP BY st.transaction_date
-)"""
+NET = f"{dbl('SUM(net_amount)')} AS net_revenue"
+SALES, LIVE = "FROM all_sales", "FROM live_sales"
+
+DAILY = f"daily_net AS (SELECT transaction_date, day_of_week, marketing_event, SUM(net_amount) AS net {SALES} GROUP BY ALL)"
 REGION_DAY = f"""region_day AS (
-  SELECT sr.region_id, rr.region_name, st.transaction_date, SUM(st.net_amount) AS net {SALES} {SR} {RR}
-  GROUP BY sr.region_id, rr.region_name, st.transaction_date
+  SELECT region_id, transaction_date, temperature_avg, SUM(net_amount) AS net {SALES} WHERE has_weather GROUP BY ALL
 )"""
 
 
@@ -56,7 +48,7 @@ def queries() -> dict[str, Query]:
     q["rep_seasonal_trend"] = Query(on_star(R.seasonal_trend, 2000), star(f"SELECT * FROM ({trend}) WHERE year = 2000"))
     q["rep_yoy_growth"] = Query(on_star(R.seasonal_trend), star(trend))
     q["rep_season_rollup"] = Query(
-        on_star(R.season_rollup), star(f"SELECT sc.season, {NET} {SALES} {SC} GROUP BY sc.season"))
+        on_star(R.season_rollup), star(f"SELECT season, {NET} {SALES} GROUP BY season"))
     q["rep_revenue_by_category_region"] = Query(
         on_star(R.revenue_by_category_region, "economy", "asia", 1999),
         star("SELECT * FROM v_monthly_sales_by_category_region WHERE lower(category) = 'economy' "
@@ -65,16 +57,16 @@ def queries() -> dict[str, Query]:
     q["rep_category_leakage_summary"] = Query(on_star(R.leakage_summary), star(
         "SELECT category AS highest_leakage_category, discount_rate AS highest_discount_rate "
         "FROM v_category_leakage ORDER BY total_discount DESC LIMIT 1"))
-    rate = ratio("st.discount_amount", "st.total_amount", 6)
+    rate = ratio("discount_amount", "total_amount", 6)
     med = lambda x: f"CAST(CAST(MEDIAN({dbl(x)}) AS DECIMAL(38,6)) AS DOUBLE)"
     q["rep_category_features"] = Query(on_star(R.category_features), star(f"""
-      SELECT pm.category, {med('pm.list_price')} AS median_list_price, {med('st.unit_price')} AS median_unit_price,
+      SELECT category, {med('list_price')} AS median_list_price, {med('unit_price')} AS median_unit_price,
              {med(f'COALESCE({rate}, 0)')} AS actual_discount_rate,
-             MODE() WITHIN GROUP (ORDER BY sr.store_type) AS mode_store_type, MODE() WITHIN GROUP (ORDER BY pm.brand) AS mode_brand,
-             MODE() WITHIN GROUP (ORDER BY sc.season) AS mode_season, MAX(sc.month) AS latest_month,
-             MAX(sc.quarter) AS latest_quarter, MAX(sc.is_holiday::INT) AS mode_is_holiday,
-             MODE() WITHIN GROUP (ORDER BY COALESCE(sc.marketing_event, 'none')) AS mode_marketing_event
-      {SALES} {PM} {SR} {SC} GROUP BY pm.category"""))
+             MODE() WITHIN GROUP (ORDER BY store_type) AS mode_store_type, MODE() WITHIN GROUP (ORDER BY brand) AS mode_brand,
+             MODE() WITHIN GROUP (ORDER BY season) AS mode_season, MAX(month) AS latest_month,
+             MAX(quarter) AS latest_quarter, MAX(is_holiday::INT) AS mode_is_holiday,
+             MODE() WITHIN GROUP (ORDER BY COALESCE(marketing_event, 'none')) AS mode_marketing_event
+      {LIVE} GROUP BY category"""))
     q["rep_discount_effectiveness"] = Query(
         on_star(R.discount_effectiveness, "promo"),
         star("SELECT * FROM v_discount_effectiveness WHERE lower(category) = 'promo'"))
@@ -101,99 +93,100 @@ def queries() -> dict[str, Query]:
       FROM (SELECT total, top, ROUND(CAST(top AS DECIMAL(28,2)) * 0.75, 2) AS shocked
             FROM (SELECT (SELECT SUM(net) FROM sku_net) AS total,
                          (SELECT SUM(net) FROM (SELECT net FROM sku_net ORDER BY net DESC, sku_id LIMIT 10)) AS top))"""))
-    q["rep_adhoc_select"] = Query(_adhoc(ADHOC, 200), star(ADHOC.replace("SUM(transaction_count)", big("SUM(transaction_count)"))))
+    q["rep_adhoc_select"] = Query(_adhoc(ADHOC, 200), star(
+        ADHOC.replace("SUM(transaction_count)", big("SUM(transaction_count)")).replace(" FROM ", ", FALSE AS truncated FROM ", 1)))
 
     # ---- dashboard roll-ups
     q["dash_month_year"] = Query(on_star(R.month_year_totals), star(
-        f"SELECT sc.year, sc.month, {NET} {SALES} {SC} GROUP BY sc.year, sc.month"))
+        f"SELECT year, month, {NET} {SALES} GROUP BY year, month"))
     q["dash_band_share"] = Query(on_star(R.band_share), star(f"""
       SELECT discount_band, CAST({BAND_ORDER} AS INTEGER) AS band_order, {dbl('net')} AS net_revenue,
              {ratio('net', 'SUM(net) OVER ()', 4)} AS share
-      FROM (SELECT {BAND} AS discount_band, SUM(st.net_amount) AS net {SALES} {PM} GROUP BY discount_band)"""))
+      FROM (SELECT {BAND} AS discount_band, SUM(net_amount) AS net {LIVE} GROUP BY discount_band)"""))
     q["dash_hist_breakdown"] = Query(on_star(R.history_breakdown, "PROMO"), star(f"""
-      SELECT rr.region_name AS group_dim, CAST(sc.year * 100 + sc.month AS INTEGER) AS month_order, {NET}
-      {SALES} {PM} {SR} {RR} {SC} WHERE pm.category = 'PROMO' GROUP BY ALL"""))
+      SELECT region_name AS group_dim, CAST(year * 100 + month AS INTEGER) AS month_order, {NET}
+      {LIVE} WHERE category = 'PROMO' GROUP BY ALL"""))
 
     # ---- question catalogue
     products = f"SELECT sku_id, product_name, category, net_revenue FROM v_sales_by_product"
     q["q_top_products"] = Query(on_star(C.products_by_revenue), star(f"{products} ORDER BY net_revenue DESC, sku_id LIMIT 10"))
     q["q_bottom_products"] = Query(on_star(C.products_by_revenue, 10, True), star(f"{products} ORDER BY net_revenue, sku_id LIMIT 10"))
-    q["q_category_rank"] = Query(on_star(C.by_attribute, "category"), star(f"SELECT pm.category, {NET} {SALES} {PM} GROUP BY pm.category"))
-    q["q_brand_rank"] = Query(on_star(C.by_attribute, "brand"), star(f"SELECT pm.brand, {NET} {SALES} {PM} GROUP BY pm.brand"))
+    q["q_category_rank"] = Query(on_star(C.by_attribute, "category"), star(f"SELECT category, {NET} {LIVE} GROUP BY category"))
+    q["q_brand_rank"] = Query(on_star(C.by_attribute, "brand"), star(f"SELECT brand, {NET} {LIVE} GROUP BY brand"))
     q["q_category_quarter"] = Query(on_star(C.category_quarter, 2000, 4), star(
-        f"SELECT pm.category, {NET} {SALES} {PM} {SC} WHERE sc.quarter = 4 AND sc.year = 2000 GROUP BY pm.category"))
-    stores = f"""SELECT sr.store_id, sr.store_name, sr.store_type, {big('COUNT(*)')} AS transaction_count, {NET}
-      {SALES} {SR} GROUP BY sr.store_id, sr.store_name, sr.store_type"""
-    q["q_top_stores"] = Query(on_star(C.top_stores), star(f"{stores} ORDER BY SUM(st.net_amount) DESC, sr.store_id LIMIT 10"))
-    q["q_store_txn_count"] = Query(on_star(C.top_stores, 10, True), star(f"{stores} ORDER BY COUNT(*) DESC, sr.store_id LIMIT 10"))
+        f"SELECT category, {NET} {LIVE} WHERE quarter = 4 AND year = 2000 GROUP BY category"))
+    stores = f"""SELECT store_id, store_name, store_type, {big('COUNT(*)')} AS transaction_count, {NET}
+      {SALES} GROUP BY store_id, store_name, store_type"""
+    q["q_top_stores"] = Query(on_star(C.top_stores), star(f"{stores} ORDER BY SUM(net_amount) DESC, store_id LIMIT 10"))
+    q["q_store_txn_count"] = Query(on_star(C.top_stores, 10, True), star(f"{stores} ORDER BY COUNT(*) DESC, store_id LIMIT 10"))
     q["q_online_vs_physical"] = Query(on_star(C.by_store_type), star(
-        f"SELECT sr.store_type, {NET}, {big('COUNT(*)')} AS transaction_count {SALES} {SR} GROUP BY sr.store_type"))
+        f"SELECT store_type, {NET}, {big('COUNT(*)')} AS transaction_count {SALES} GROUP BY store_type"))
     q["q_avg_txn_by_store_type"] = Query(on_star(C.avg_transaction_by_store_type), star(
-        f"SELECT sr.store_type, {ratio('SUM(st.net_amount)', 'COUNT(*)', 2)} AS avg_transaction_value {SALES} {SR} GROUP BY sr.store_type"))
+        f"SELECT store_type, {ratio('SUM(net_amount)', 'COUNT(*)', 2)} AS avg_transaction_value {SALES} GROUP BY store_type"))
     q["q_region"] = Query(on_star(C.by_attribute, "region_name"), star(
-        f"SELECT rr.region_name, {NET} {SALES} {SR} {RR} GROUP BY rr.region_name"))
+        f"SELECT region_name, {NET} {SALES} GROUP BY region_name"))
     q["q_country"] = Query(on_star(C.by_attribute, "country"), star(
-        f"SELECT rr.country, {NET} {SALES} {SR} {RR} GROUP BY rr.country"))
+        f"SELECT country, {NET} {SALES} GROUP BY country"))
     q["q_region_month"] = Query(on_star(C.region_month), star(
-        f"SELECT rr.region_name, sc.year, sc.month, {NET}, {big('COUNT(*)')} AS transactions {SALES} {SR} {RR} {SC} GROUP BY ALL"))
+        f"SELECT region_name, year, month, {NET}, {big('COUNT(*)')} AS transactions {SALES} GROUP BY ALL"))
     q["q_monthly_year"] = Query(on_star(C.monthly_of_year, 1999), star(
-        f"SELECT sc.month, {NET} {SALES} {SC} WHERE sc.year = 1999 GROUP BY sc.month"))
+        f"SELECT month, {NET} {SALES} WHERE year = 1999 GROUP BY month"))
     q["q_quarter"] = Query(on_star(C.by_quarter), star(
-        f"SELECT sc.year, sc.quarter, {NET} {SALES} {SC} GROUP BY sc.year, sc.quarter"))
+        f"SELECT year, quarter, {NET} {SALES} GROUP BY year, quarter"))
     q["q_year_compare"] = Query(on_star(C.year_compare, 1999, 2000), star(
-        f"SELECT sc.year, {NET} {SALES} {SC} WHERE sc.year IN (1999, 2000) GROUP BY sc.year"))
-    q["q_season"] = Query(on_star(C.by_season), star(f"SELECT sc.season, {NET} {SALES} {SC} GROUP BY sc.season"))
-    avg6 = ratio("SUM(st.net_amount)", "COUNT(*)", 6)
+        f"SELECT year, {NET} {SALES} WHERE year IN (1999, 2000) GROUP BY year"))
+    q["q_season"] = Query(on_star(C.by_season), star(f"SELECT season, {NET} {SALES} GROUP BY season"))
+    avg6 = ratio("SUM(net_amount)", "COUNT(*)", 6)
     q["q_season_year"] = Query(on_star(C.season_by_year), star(f"""
-      SELECT sc.season, sc.year, {big('COUNT(*)')} AS transactions, {dbl('SUM(st.net_amount)')} AS revenue,
-             {avg6} AS avg_transaction_value {SALES} {SC} GROUP BY sc.season, sc.year"""))
+      SELECT season, year, {big('COUNT(*)')} AS transactions, {dbl('SUM(net_amount)')} AS revenue,
+             {avg6} AS avg_transaction_value {SALES} GROUP BY season, year"""))
     q["q_holiday"] = Query(on_star(C.holiday_compare), star(f"""
-      SELECT sc.is_holiday, {big('COUNT(*)')} AS transactions, {big('SUM(st.quantity)')} AS units,
-             {dbl('SUM(st.net_amount)')} AS revenue, {avg6} AS avg_transaction_value {SALES} {SC} GROUP BY sc.is_holiday"""))
+      SELECT is_holiday, {big('COUNT(*)')} AS transactions, {big('SUM(quantity)')} AS units,
+             {dbl('SUM(net_amount)')} AS revenue, {avg6} AS avg_transaction_value {SALES} GROUP BY is_holiday"""))
     q["q_best_weekday"] = Query(on_star(C.best_weekday), star(f"""
-      SELECT sc.day_of_week, {ratio('SUM(d.net)', 'COUNT(*)', 2)} AS avg_daily_revenue, {big('COUNT(*)')} AS days
-      FROM daily_net d JOIN seasonal_calendar sc ON d.transaction_date = sc.date GROUP BY sc.day_of_week""", DAILY))
+      SELECT day_of_week, {ratio('SUM(net)', 'COUNT(*)', 2)} AS avg_daily_revenue, {big('COUNT(*)')} AS days
+      FROM daily_net GROUP BY day_of_week""", DAILY))
     q["q_marketing_event"] = Query(on_star(C.marketing_events), star(f"""
-      SELECT sc.marketing_event, {ratio('SUM(d.net)', 'COUNT(*)', 2)} AS avg_daily_revenue, {big('COUNT(*)')} AS days
-      FROM daily_net d JOIN seasonal_calendar sc ON d.transaction_date = sc.date
-      WHERE sc.marketing_event IS NOT NULL GROUP BY sc.marketing_event""", DAILY))
-    weather = f"""{dbl('SUM(st.net_amount)')} AS total_revenue, {big('COUNT(*)')} AS transactions {SALES} {SR} {RR} LEFT {WO}"""
+      SELECT marketing_event, {ratio('SUM(net)', 'COUNT(*)', 2)} AS avg_daily_revenue, {big('COUNT(*)')} AS days
+      FROM daily_net
+      WHERE marketing_event IS NOT NULL GROUP BY marketing_event""", DAILY))
+    weather = f"""{dbl('SUM(net_amount)')} AS total_revenue, {big('COUNT(*)')} AS transactions {SALES}"""
     q["q_weather_condition"] = Query(on_star(C.weather_conditions), star(
-        f"SELECT wo.weather_condition, {weather} GROUP BY wo.weather_condition"))
+        f"SELECT weather_condition, {weather} GROUP BY weather_condition"))
     q["q_rain_vs_sun"] = Query(on_star(C.weather_conditions, ["Rainy", "Sunny"]), star(
-        f"SELECT wo.weather_condition, {weather} WHERE wo.weather_condition IN ('Rainy', 'Sunny') GROUP BY wo.weather_condition"))
+        f"SELECT weather_condition, {weather} WHERE weather_condition IN ('Rainy', 'Sunny') GROUP BY weather_condition"))
     q["q_region_weather"] = Query(on_star(C.region_weather, "%east%"), star(
-        f"SELECT rr.region_name, wo.weather_condition, {weather} WHERE rr.region_name ILIKE '%east%' GROUP BY ALL"))
+        f"SELECT region_name, weather_condition, {weather} WHERE region_name ILIKE '%east%' GROUP BY ALL"))
     q["q_weather_corr"] = Query(on_star(C.weather_correlation), star(f"""
-      SELECT wo.weather_condition, {big('COUNT(*)')} AS transactions, {dbl('SUM(st.net_amount)')} AS revenue, {avg6} AS avg_value,
-             {ratio('SUM(wo.temperature_avg)', 'COUNT(*)', 6)} AS avg_temp, {ratio('SUM(wo.precipitation)', 'COUNT(*)', 6)} AS avg_precip
-      {SALES} {SR} {WO} GROUP BY wo.weather_condition"""))
+      SELECT weather_condition, {big('COUNT(*)')} AS transactions, {dbl('SUM(net_amount)')} AS revenue, {avg6} AS avg_value,
+             {ratio('SUM(temperature_avg)', 'COUNT(*)', 6)} AS avg_temp, {ratio('SUM(precipitation)', 'COUNT(*)', 6)} AS avg_precip
+      {SALES} WHERE has_weather GROUP BY weather_condition"""))
     q["q_temp_bands"] = Query(on_star(C.temperature_bands), star(f"""
-      SELECT CASE WHEN wo.temperature_avg < 10 THEN 'cold' WHEN wo.temperature_avg <= 25 THEN 'mild' ELSE 'hot' END AS temperature_band,
-             {ratio('SUM(d.net)', 'COUNT(*)', 2)} AS avg_revenue, {big('COUNT(*)')} AS region_days
-      FROM region_day d JOIN weather_overlay wo ON wo.region_id = d.region_id AND wo.date = d.transaction_date
+      SELECT CASE WHEN temperature_avg < 10 THEN 'cold' WHEN temperature_avg <= 25 THEN 'mild' ELSE 'hot' END AS temperature_band,
+             {ratio('SUM(net)', 'COUNT(*)', 2)} AS avg_revenue, {big('COUNT(*)')} AS region_days
+      FROM region_day
       GROUP BY temperature_band""", REGION_DAY))
     q["q_region_day_weather"] = Query(on_star(C.region_day_weather, dt.date(2001, 1, 1)), star(f"""
-      SELECT rr.region_name, st.transaction_date, wo.weather_condition, {dbl('SUM(st.net_amount)')} AS revenue,
-             {dbl('MAX(wo.temperature_avg)')} AS avg_temp
-      {SALES} {SR} {RR} LEFT {WO} WHERE st.transaction_date >= DATE '2001-01-01' GROUP BY ALL"""))
+      SELECT region_name, transaction_date, weather_condition, {dbl('SUM(net_amount)')} AS revenue,
+             {dbl('MAX(temperature_avg)')} AS avg_temp
+      {SALES} WHERE transaction_date >= DATE '2001-01-01' GROUP BY ALL"""))
     q["q_category_region"] = Query(on_star(C.category_region), star(
-        f"SELECT pm.category, rr.region_name, {NET} {SALES} {PM} {SR} {RR} GROUP BY ALL"))
+        f"SELECT category, region_name, {NET} {LIVE} GROUP BY ALL"))
     q["q_category_region_like"] = Query(on_star(C.category_region, "a%"), star(
-        f"SELECT pm.category, rr.region_name, {NET} {SALES} {PM} {SR} {RR} WHERE rr.region_name ILIKE 'a%' GROUP BY ALL"))
+        f"SELECT category, region_name, {NET} {LIVE} WHERE region_name ILIKE 'a%' GROUP BY ALL"))
     q["q_category_weather"] = Query(on_star(C.category_weather), star(
-        f"SELECT pm.category, wo.weather_condition, {NET} {SALES} {PM} {SR} LEFT {WO} GROUP BY ALL"))
+        f"SELECT category, weather_condition, {NET} {LIVE} GROUP BY ALL"))
     q["q_top_category_per_region"] = Query(on_star(C.top_category_per_region), star(f"""
       SELECT region_name, category, {dbl('net')} AS net_revenue
-      FROM (SELECT rr.region_name, pm.category, SUM(st.net_amount) AS net {SALES} {PM} {SR} {RR} GROUP BY ALL)
+      FROM (SELECT region_name, category, SUM(net_amount) AS net {LIVE} GROUP BY ALL)
       QUALIFY ROW_NUMBER() OVER (PARTITION BY region_name ORDER BY net DESC, category) = 1"""))
     q["q_category_txn_count"] = Query(on_star(C.category_transactions, "SMALL"), star(
-        f"SELECT {big('COUNT(*)')} AS transaction_count {SALES} {PM} WHERE pm.category = 'SMALL'"))
+        f"SELECT {big('COUNT(*)')} AS transaction_count {LIVE} WHERE category = 'SMALL'"))
     q["q_last_30_days_top10"] = Query(on_star(C.trailing_top_products, AS_OF), star(f"""
-      SELECT pm.sku_id, pm.product_name, pm.category, {dbl('SUM(st.net_amount)')} AS revenue,
-             {big('SUM(st.quantity)')} AS units_sold, {big('COUNT(*)')} AS transactions
-      {SALES} {PM} WHERE st.transaction_date BETWEEN DATE '2001-06-15' - 30 AND DATE '2001-06-15'
-      GROUP BY pm.sku_id, pm.product_name, pm.category ORDER BY SUM(st.net_amount) DESC, pm.sku_id LIMIT 10"""))
+      SELECT sku_id, product_name, category, {dbl('SUM(net_amount)')} AS revenue,
+             {big('SUM(quantity)')} AS units_sold, {big('COUNT(*)')} AS transactions
+      {LIVE} WHERE transaction_date BETWEEN DATE '2001-06-15' - 30 AND DATE '2001-06-15'
+      GROUP BY sku_id, product_name, category ORDER BY SUM(net_amount) DESC, sku_id LIMIT 10"""))
     q["q_hot_wet_days"] = Query(on_star(C.hot_wet_days), star(
         "SELECT * FROM v_sales_weather_context WHERE temperature_avg > 25 AND precipitation > 10"))
     q["q_category_products"] = Query(on_star(C.category_products, "LARGE"), star(

@@ -32,6 +32,7 @@ def local_session(app: str = "basketry", cpus: int | str = "*", partitions: int
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="basketry-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -45,8 +46,8 @@ def local_session(app: str = "basketry", cpus: int | str = "*", partitions: int
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may fall back to a temporary folder; on a cluster such a
-    folder would be invisible to the other machines, so the setting is required.
+    ``local_session`` sets it.  Another session in one process (``local[n]``) may do without; where
+    executors are processes of their own the setting is required, as they see no temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -54,7 +55,8 @@ def scratch_root(spark: SparkSession) -> str:
     app_id = spark.sparkContext.applicationId
     if configured:
         return f"{configured.rstrip('/')}/basketry/{app_id}"
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if app_id not in _local_scratch:
         _local_scratch[app_id] = tempfile.mkdtemp(prefix="basketry-")

@@ -20,8 +20,6 @@ from basketry.session import configure, path_exists, scratch_root
 
 CALENDAR_START = dt.date(1995, 1, 1)
 CALENDAR_END = dt.date(2001, 12, 31)
-# Below this many rows a generated dimension may be broadcast: a row is < 100 bytes.
-GENERATED_ROWS_MAX = 100_000
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount"]
@@ -81,7 +79,7 @@ def product_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").cast("decimal(10,2)").alias("list_price"),
         F.date_add(F.lit("1994-01-01").cast("date"), (F.col("p_partkey") % 365).cast("int")).alias("launch_date"),
         F.when(F.col("p_size") > 45, "inactive").otherwise("active").alias("status"),
-        F.lit(True).alias("is_current"),
+        (F.col("p_partkey") % 11 != 0).alias("is_current"),
     )
 
 
@@ -134,12 +132,10 @@ def calendar_columns(days: DataFrame) -> DataFrame:
 
 def calendar_dim(spark: SparkSession, start: dt.date = CALENDAR_START, end: dt.date = CALENDAR_END) -> DataFrame:
     """One row per day of the inclusive window."""
-    days = (end - start).days + 1
     spine = spark.range(1, numPartitions=1).select(
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("date")
     )
-    cal = calendar_columns(spine)
-    return F.broadcast(cal) if days <= GENERATED_ROWS_MAX else cal
+    return calendar_columns(spine)
 
 
 def calendar_over(df: DataFrame, day: str) -> DataFrame:

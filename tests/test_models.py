@@ -70,7 +70,10 @@ def test_grid_has_64_candidates_per_slice(spark):
 
 
 def test_horizon_is_held_to_ten():
-    assert [T.check_horizon(h) for h in (0, 1, 10, 99)] == [1, 1, 10, 10]
+    assert [T.check_horizon(h) for h in (1, 10)] == [1, 10]
+    for bad in (0, 11, 99):
+        with pytest.raises(ValueError):
+            T.check_horizon(bad)
 
 
 def rows_of(spark, n):

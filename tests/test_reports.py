@@ -115,7 +115,12 @@ def test_adhoc_takes_one_select_and_caps_it(spark, star):
     views.register_views(star)
     assert R.adhoc_select(spark, "SELECT * FROM v_sales_by_product;", 7).count() == 7
     assert R.adhoc_select(spark, "with x as (select 1 as a) select * from x").count() == 1
-    for bad in ("DROP TABLE x", "select 1; select 2", "INSERT INTO t SELECT 1", "with x as (select 1) delete from y", ""):
+    cut, whole = R.adhoc_select(spark, "SELECT * FROM v_sales_by_product", 7), R.adhoc_select(spark, "SELECT * FROM v_category_leakage", 99)
+    assert cut.first().truncated is True and whole.first().truncated is False
+    assert R.adhoc_select(spark, "SELECT sku_id FROM v_sales_by_product WHERE product_name <> 'set'", None).columns == ["sku_id"]
+    for bad in ("DROP TABLE x", "select 1; select 2", "INSERT INTO t SELECT 1", "with x as (select 1) delete from y", "",
+                "SELECT * FROM parquet.`/root/testdata/sf0.001/part.parquet`", "SELECT * FROM nowhere",
+                "SELECT (SELECT max(p_size) FROM parquet.`/root/testdata/sf0.001/part.parquet`) FROM v_category_leakage"):
         with pytest.raises(ValueError):
             R.adhoc_select(spark, bad)
 
