@@ -1,20 +1,24 @@
 """Dimensions, fact promotion, product history and integrity checks."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.functions import dates as D
 from basketry.functions.money import big, dbl, sum_of
 from basketry.functions.text import slice_key
 from basketry.operators import gold, silver as S
+from basketry.plans import months, views
 from basketry.registry.feeds import (
-    FACT_SQL, LATEST_PRODUCT, PRODUCT_LANDING, canonical, fact_select, fresh, known_product, product_landing, valid_rows,
+    FACT_SQL, LATEST_PRODUCT, NOW, PRODUCT_LANDING, canonical, fact_select, fresh, known_product, product_landing, valid_rows,
 )
 from basketry.registry.feeds_sql import feeds
 from basketry.registry.query import Query
-from basketry.registry.star_sql import big as sql_big, dbl as sql_dbl, star
+from basketry.registry.star_sql import big as sql_big, dbl as sql_dbl, ratio, star
 from basketry.session import configure
 from basketry.sources import sinks
+from basketry.sources.feeds import FEED_SCHEMAS, SOURCES, landed_feed
 from basketry.sources.star import calendar_dim, calendar_over, load_star, product_dim, region_dim, store_dim, table, weather_dim
 
 
@@ -139,6 +143,35 @@ PROMOTABLE = """promotable AS (
 )"""
 
 
+ETL_MONTHS = [dt.date(1998, 3, 1), dt.date(1998, 4, 1)]
+
+
+def month_lake(spark, sf_dir) -> S.Lake:
+    """Two months of native feeds, landed, cleaned and promoted one after the other."""
+    configure(spark)
+    lake = S.Lake(fresh(spark, "months"))
+    for month in ETL_MONTHS:
+        # Rows arrive in the order of their time, so "latest" means the same row on every run.
+        feeds_of = {
+            s: landed_feed(spark, sf_dir, s).filter(F.col("batch_month") == F.lit(month)).orderBy("ingested_at", "ingest_seq")
+            .select(*FEED_SCHEMAS[s].names) for s in SOURCES}
+        months.run_month(spark, lake, feeds_of, month, known_product(spark, sf_dir), store_dim(spark, sf_dir), calendar_dim(spark), NOW)
+    return lake
+
+
+def etl_category_leakage(spark, sf_dir):
+    """From landing to report: category leakage over the fact that two monthly runs have left."""
+    s = load_star(spark, sf_dir)
+    star_ = months.star_from_lake(spark, month_lake(spark, sf_dir), s.product, s.store, s.region, s.calendar, s.weather)
+    return views.category_leakage(star_)
+
+
+def etl_monthly_summary(spark, sf_dir):
+    s = load_star(spark, sf_dir)
+    star_ = months.star_from_lake(spark, month_lake(spark, sf_dir), s.product, s.store, s.region, s.calendar, s.weather)
+    return views.monthly_sales_summary(star_)
+
+
 # ------------------------------------------------------------ product history
 
 def price_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +319,25 @@ def queries() -> dict[str, Query]:
 
     q["fact_measures"] = Query(fact_measures, feeds(fact_select("survivors")))
     q["fact_promote"] = Query(fact_promote, feeds(fact_select("promotable"), PROMOTABLE))
+    in_months = f"CAST(date_trunc('month', l_shipdate) AS DATE) IN ({', '.join(f"DATE '{m}'" for m in ETL_MONTHS)})"
+    of_months = lambda text: text.replace("FROM feed_lines\n", f"FROM feed_lines WHERE {in_months}\n")
+    etl = f"""etl_fact AS ({FACT_SQL.format(rows='gold_rows')}),
+etl_sales AS (
+  SELECT f.*, CAST(total_amount - discount_amount AS DECIMAL(12,2)) AS net_amount, p.category, p.is_current, c.* EXCLUDE (date)
+  FROM etl_fact f JOIN product_master p USING (sku_id) JOIN seasonal_calendar c ON c.date = f.transaction_date
+)"""
+    q["etl_category_leakage"] = Query(etl_category_leakage, of_months(feeds(f"""
+      SELECT category, {sql_dbl('sum(total_amount)')} AS gross_revenue, {sql_dbl('sum(discount_amount)')} AS total_discount,
+             {sql_dbl('sum(net_amount)')} AS net_revenue, {ratio('sum(discount_amount)', 'sum(total_amount)', 4)} AS discount_rate,
+             {count} AS transaction_count, {sql_big('sum(quantity)')} AS total_quantity,
+             {ratio('sum(net_amount)', 'count(*)', 2)} AS revenue_per_transaction
+      FROM etl_sales WHERE is_current GROUP BY category""", etl)))
+    q["etl_monthly_summary"] = Query(etl_monthly_summary, of_months(feeds(f"""
+      SELECT year, quarter, month, season, {count} AS transaction_count, {sql_big('sum(quantity)')} AS total_quantity,
+             {sql_dbl('sum(total_amount)')} AS total_revenue, {sql_dbl('sum(net_amount)')} AS net_revenue,
+             {ratio('sum(net_amount)', 'count(*)', 2)} AS avg_transaction_value,
+             {sql_dbl('coalesce(sum(net_amount) FILTER (is_holiday), 0)')} AS holiday_net_revenue
+      FROM etl_sales GROUP BY year, quarter, month, season""", etl)))
     q["fact_idempotent"] = Query(fact_idempotent, feeds(
         f"SELECT {count} AS first_promotion, CAST(0 AS BIGINT) AS second_promotion, {count} AS fact_rows FROM promotable", PROMOTABLE))
 
