@@ -24,6 +24,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return kept.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one root only, and no root points anywhere."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    wrong = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("root").alias("root")).filter("out > 1 or (out = 1 and root = 1)")
+    return wrong.isEmpty() and edges.filter("v > u").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Root of every node that has an edge to another: columns ``node``, ``root``.
 
@@ -37,10 +45,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .filter("u is not null and v is not null and u != v").distinct()
     )
     current = spool(current, "edges")
-    seen = None
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or state[0] == 0:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(state)
+    while not _settled(current):
         current = spool(_small_star(_large_star(current)), "edges")
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -27,7 +27,7 @@ PERCENT = 85
 FREQUENT = 0.001
 FULL = 64
 #: Rounds that tie the sets of a shingle to one anchor before the remaining pairs are listed.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Parts that a frequent shingle's sets are dealt to.
 SALT = 16
 
@@ -304,12 +304,16 @@ def _star(now: DataFrame, step: int, percent: int) -> DataFrame:
     """Each set of a token against the token's anchor: as many pairs as entries at most.
 
     The anchor is the set of the lowest rank of its (token, part); ranks change with the round.
+    The anchors of a token's parts are paired with the lowest of them.
     """
     rank = F.xxhash64(F.lit(step), "comp", "cls")
     center = now.groupBy("token", "part").agg(F.min(F.struct(rank.alias("r"), "cls", "n", "comp")).alias("c"))
-    joined = now.join(center, ["token", "part"]).select(
-        F.col("c.cls").alias("x"), F.col("cls").alias("y"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"),
-        F.col("c.comp").alias("comp_a"), "comp")
+    top = center.groupBy("token").agg(F.min("c").alias("top"))
+    columns = lambda c, side: [
+        F.col(f"{c}.cls").alias("x"), F.col(f"{side}cls").alias("y"), F.col(f"{c}.n").alias("n_a"), F.col(f"{side}n").alias("n_b"),
+        F.col(f"{c}.comp").alias("comp_a"), F.col(f"{side}comp").alias("comp")]
+    joined = now.join(center, ["token", "part"]).select(*columns("c", "")).unionByName(
+        center.join(top, "token").select(*columns("top", "c.")))
     pairs = joined.filter("comp_a != comp").filter(_fits(percent))
     enough = F.expr(f"least({_emitted_sql('n_a', percent)} - {_front_sql('n_a', percent)}, {_emitted_sql('n_b', percent)} - {_front_sql('n_b', percent)}) / 4")
     counted = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
