@@ -25,7 +25,7 @@ SHINGLE = 4
 PERCENT = 85
 #: A shingle in this share of the documents goes last in the order, as does one in more fronts than FULL.
 FREQUENT = 0.001
-FULL = 64
+FULL = 16
 #: Rounds that tie the sets of a shingle to one anchor before the remaining pairs are listed.
 STAR_ROUNDS = 2
 #: Parts that a frequent shingle's sets are dealt to.
@@ -47,6 +47,11 @@ def _front_sql(n: str, percent: int) -> str:
     return f"({n} - floor(({percent} * {n} + 99) / 100) + 1)"
 
 
+def _short_front_sql(n: str, percent: int) -> str:
+    """Shingles of which a similar set that is at least as large holds one in its front."""
+    return f"({n} - floor((2 * {percent} * {n} + 99 + {percent}) / (100 + {percent})) + 1)"
+
+
 def _emitted_sql(n: str, percent: int) -> str:
     f = _front_sql(n, percent)
     return f"least({n}, {f} + greatest(16, floor({f} / 2)))"
@@ -326,7 +331,8 @@ def _remaining(now: DataFrame, state: DataFrame, percent: int) -> DataFrame:
 
     Between sets with enough rare shingles, rare ones decide: sets of a pair share as many of them
     as both have slack beyond their fronts.  A set that lacks rare shingles is paired through
-    its frequent ones as well, within the fronts of the order in which they were emitted.
+    its frequent ones as well, within the fronts of the order in which they were emitted; the smaller set
+    of such a pair need only show a front that a set of its size or more must meet.
     """
     rows = now.join(state, "cls")
     heavy = F.col("frequent") | (F.col("df") > FULL)
@@ -336,8 +342,14 @@ def _remaining(now: DataFrame, state: DataFrame, percent: int) -> DataFrame:
     light = side(rare, "a").join(side(rare, "b"), "token").filter("cls_a < cls_b and comp_a != comp_b").filter(_fits(percent))
     light = light.groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"), F.first(F.least("slack_a", "slack_b")).alias("slack"))
     light = light.filter(F.col("shared") > F.col("slack")).select("cls_a", "cls_b")
+    # The larger set of a pair looks with its front, the smaller one is found by a shorter front.
     dense = rows.filter(heavy & (F.col("pos") < F.expr(_front_sql("n", percent))))
-    short = side(dense.filter("slack < 0"), "a").join(side(dense, "b"), "token").filter("comp_a != comp_b").filter(_fits(percent))
+    found = dense.filter(F.col("pos") < F.expr(_short_front_sql("n", percent)))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") > F.col("cls_b")))
+    short = (
+        side(dense, "a").join(side(found, "b"), "token")
+        .filter(larger & ((F.col("slack_a") < 0) | (F.col("slack_b") < 0)) & (F.col("comp_a") != F.col("comp_b"))).filter(_fits(percent))
+    )
     return light.union(short.select("cls_a", "cls_b")).select(
         F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
