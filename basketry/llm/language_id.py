@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from basketry.llm import blocks
 from basketry.session import spool
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Labelled rows of a language that the model is fitted on: those with the smallest hash of their id.
+#: Labelled rows of a language that the model is fitted on, chosen by a hash.
 TRAIN_ROWS = 2000
 #: Most frequent labels that become languages.
 MAX_LANGUAGES = 256
@@ -218,8 +218,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", row_id: str
         train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn the piece probabilities from rows with a label.
 
-    The sample holds at most ``train_rows`` whole texts of each label, chosen by a hash of the id;
-    Spark keeps only so many per task before it shuffles.  Word counts and each E-step run as
+    The sample holds about ``train_rows`` whole texts of each label (all, if there are fewer), those
+    whose hash of id and text falls under the label's share; nothing is sorted or shuffled for it.  Word counts and each E-step run as
     jobs; the driver holds one table of pieces by languages.
     """
     spark = blocks.limit_batches(labelled.sparkSession)
@@ -232,9 +232,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", row_id: str
     prior = np.log(np.array([size[x] for x in languages], float) / max(1, sum(size.values())))
     if not languages:
         return Model([], texts, np.zeros((len(texts) + 1, 0)), prior)
-    chosen = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"))
-    keys = rows.withColumn("_h", F.xxhash64("text"))
-    sample = keys.filter(F.col("lang").isin(languages)).withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= train_rows)
+    # Each label's share of rows follows from its count, so every task can tell alone which rows it keeps.
+    share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, train_rows / size[x]))])
+    point = F.pmod(F.xxhash64("_id", F.xxhash64("text")), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.filter(F.col("lang").isin(languages)).filter(point < F.element_at(share, F.col("lang")))
     words = spool(
         sample.select("text", "lang").mapInArrow(_count_words, "lang string, word binary, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
