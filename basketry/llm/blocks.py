@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of one Arrow batch handed to Python.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 3 << 20
 #: Bytes hashed at a time, so that working arrays do not grow with a batch or a text.
 BLOCK = 1 << 19
 
