@@ -1,8 +1,8 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Every batch of documents is a shard.  Its words are one sequence, and the shard's suffix array is
-sorted by word.  Every suffix of every benchmark item is looked up in each shard by binary
-search, which gives its longest verbatim match and all places of its window.
+Every batch of documents is a shard; one of very many words is cut into several that overlap.  A
+shard's words are one sequence, and its suffix array is sorted by word.  Every suffix of every
+benchmark item is looked up in each shard by binary search, which gives all places of its window.
 """
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from basketry.llm import blocks
 WINDOW = 10
 #: Items are searched in blocks of so many words; each block is one pass over the documents.
 BLOCK_WORDS = 1 << 20
+#: Most words of one suffix array; batches of usual prose have fewer.
+SHARD_WORDS = 1 << 20
 
 
 @dataclass
@@ -57,8 +59,9 @@ def item_blocks(items: DataFrame, text: str, item_id: str, block_words: int = BL
 class SuffixArray:
     """Suffixes of a shard in word order, resolved to ``depth`` words.
 
-    Words become ranks; a key packs three ranks, so each round triples the depth to which the
-    order holds, and only suffixes that are still tied are sorted again.  Rank 0 ends a document.
+    Words become ranks; a key packs three ranks (two from 2 ** 21 words on), so each round triples
+    the depth to which the order holds, and only suffixes that are still tied are sorted again.
+    Rank 0 ends a document.
     """
 
     def __init__(self, hashes: np.ndarray, first: np.ndarray, depth: int):
@@ -83,8 +86,7 @@ class SuffixArray:
 
     def _sorted(self, depth: int) -> np.ndarray:
         bits = max(1, int(self.n + 1).bit_length())
-        if 3 * bits > 63:
-            raise ValueError("a shard holds too many words; make batches smaller")
+        packed = 3 if 3 * bits <= 63 else 2  # Arrow's limit for one text is under 2 ** 31 words
         n, step, rank = self.n, 1, self.seq
         sa = np.arange(n)
         group = np.zeros(n, np.int64)  # first place of the tie that each place lies in
@@ -92,7 +94,7 @@ class SuffixArray:
         while len(loose) and (step == 1 or step < depth):
             at = sa[loose]
             key = np.zeros(len(at), np.int64)
-            for i in range(3):
+            for i in range(packed):
                 there = at + i * step
                 key = (key << bits) | np.where(there < n, rank[np.minimum(there, n - 1)], 0)
             if len(loose) == n:
@@ -109,7 +111,7 @@ class SuffixArray:
             rank[sa] = group + 1
             size = np.diff(np.append(np.flatnonzero(new), len(loose)))
             loose = loose[np.repeat(size > 1, size)]
-            step *= 3
+            step *= packed
         return sa
 
     def search(self, query: np.ndarray, start: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -157,10 +159,20 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[which], which
 
 
-def _shard(batch: pa.RecordBatch, text: str, depth: int):
-    data, offsets = blocks.text_bytes(batch.column(batch.schema.get_field_index(text)))
-    found = blocks.words(data, offsets, blocks.ALPHANUMERIC)
-    return found, SuffixArray(found.hashes, found.first, depth)
+def _words(batch: pa.RecordBatch, text: str) -> blocks.Words:
+    return blocks.words(*blocks.text_bytes(batch.column(batch.schema.get_field_index(text))), blocks.ALPHANUMERIC)
+
+
+def _shards(found: blocks.Words, depth: int) -> Iterator[tuple[int, SuffixArray]]:
+    """Suffix arrays over the batch, each with the number of its first word.
+
+    Neighbours share ``depth`` - 1 words, so every ``depth`` words in a row lie whole in one of them.
+    """
+    n, shared = len(found.hashes), max(depth - 1, 0)
+    size = max(SHARD_WORDS, 2 * shared)
+    for at in range(0, max(n - shared, 1), size - shared):
+        stop = min(at + size, n)
+        yield at, SuffixArray(found.hashes[at:stop], np.clip(found.first, at, stop) - at, depth)
 
 
 def _windows(items: Items, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,21 +201,22 @@ def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _hits(found: blocks.Words, sa: SuffixArray, items: Items, window: int):
-    """Per document of the shard: spans of hit words and ids of the items that occur."""
+def _hits(found: blocks.Words, items: Items, window: int):
+    """Per document of the batch: spans of hit words and ids of the items that occur."""
     start, length, item = _windows(items, window)
     cover = np.zeros(len(found.hashes) + 1, np.int64)
     doc_of = found.doc
     pairs = []
-    for depth, live, low, high in sa.search(items.words, start, length):
-        done = length[live] == depth
-        if not done.any():
-            continue
-        at, which = _expand(low[done], high[done])
-        word = sa.word[sa.sa[at]]
-        np.add.at(cover, word, 1)
-        np.add.at(cover, word + depth, -1)
-        pairs.append(np.unique(doc_of[word] * len(items.ids) + item[live[done]][which]))
+    for base, sa in _shards(found, window):
+        for depth, live, low, high in sa.search(items.words, start, length):
+            done = length[live] == depth
+            if not done.any():
+                continue
+            at, which = _expand(low[done], high[done])
+            word = base + sa.word[sa.sa[at]]
+            np.add.at(cover, word, 1)
+            np.add.at(cover, word + depth, -1)
+            pairs.append(np.unique(doc_of[word] * len(items.ids) + item[live[done]][which]))
     hit = np.cumsum(cover[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     spans: dict[int, list[list[int]]] = {}
@@ -248,8 +261,8 @@ def _pass(docs: DataFrame, block: Items, text: str, window: int, into: str) -> D
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*sent.value)
         for batch in blocks.slices(batches, text):
-            found, sa = _shard(batch, text, window)
-            spans, ids = _hits(found, sa, items, window)
+            found = _words(batch, text)
+            spans, ids = _hits(found, items, window)
             at = batch.schema.get_field_index(into)
             known = batch.column(at)
             rows = [{"n_words": int(n), "spans": spans.get(i, []), "items": ids.get(i, [])} for i, n in enumerate(found.counts)]
@@ -286,24 +299,25 @@ def longest_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_i
             item, left = known.suffixes()
             deepest = int(left.max())
             for batch in blocks.slices(batches, "text"):
-                found, sa = _shard(batch, "text", deepest)
-                best = np.zeros(len(left), np.int64)
-                low, high = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-                for depth, live, lo, hi in sa.search(known.words, np.arange(len(left)), left):
-                    best[live], low[live], high[live] = depth, lo, hi
-                at = np.flatnonzero(best >= least)
-                if not len(at):
-                    continue
-                place, which = _expand(low[at], high[at])
-                word = sa.word[sa.sa[place]]
-                first = np.full(len(at), len(found.hashes))
-                np.minimum.at(first, which, word)
-                doc = found.doc[first]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([known.ids[i] for i in item[at]], pa.string()),
-                    pa.array(at - known.first[item[at]], pa.int32()), pa.array(best[at], pa.int32()),
-                    batch.column(0).take(pa.array(doc)).cast(pa.string()), pa.array(first - found.first[doc], pa.int32()),
-                ], names=["item_id", "item_word", "n_words", "doc_id", "doc_word"])
+                found = _words(batch, "text")
+                for base, sa in _shards(found, deepest):
+                    best = np.zeros(len(left), np.int64)
+                    low, high = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+                    for depth, live, lo, hi in sa.search(known.words, np.arange(len(left)), left):
+                        best[live], low[live], high[live] = depth, lo, hi
+                    at = np.flatnonzero(best >= least)
+                    if not len(at):
+                        continue
+                    place, which = _expand(low[at], high[at])
+                    word = base + sa.word[sa.sa[place]]
+                    first = np.full(len(at), len(found.hashes))
+                    np.minimum.at(first, which, word)
+                    doc = found.doc[first]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([known.ids[i] for i in item[at]], pa.string()),
+                        pa.array(at - known.first[item[at]], pa.int32()), pa.array(best[at], pa.int32()),
+                        batch.column(0).take(pa.array(doc)).cast(pa.string()), pa.array(first - found.first[doc], pa.int32()),
+                    ], names=["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 
         parts.append(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, schema))
     if not parts:

@@ -1,9 +1,11 @@
 """Empty tables, NULL columns, repeated rows and clashing names for every operator and stage."""
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basketry.llm import (chaining, decontaminate, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan,
+from basketry.llm import (blocks, chaining, decontaminate, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan,
                           suffix_dedup, url_filter)
 
 from . import brute
@@ -89,6 +91,32 @@ def test_items_in_blocks(table, rows):
     assert sorted(whole) == sorted(parts)
 
 
+def test_text_above_two_million_words(table):
+    """Items at both ends, across the first cut between shards and repeated, in one text of 2.2 million words."""
+    n, item = 2_200_000, "ka kb kc kd ke kf kg kh ki kj kk".split()
+    places = [0, decontaminate.SHARD_WORDS - 6, n - len(item)]
+    words = ["w"] * n
+    for p in places:
+        words[p:p + len(item)] = item
+    docs = table([{"doc_id": 1, "text": " ".join(words)}, {"doc_id": 2, "text": " ".join(item[:9])}])
+    items = docs.sparkSession.createDataFrame([("q", " ".join(item)), ("r", "none of it")], "item_id string, text string")
+    found = {r.doc_id: r.overlap for r in decontaminate.find_overlaps(docs, items).collect()}
+    assert found[1].n_words == n and found[1]["items"] == ["q"] and found[2].spans == []
+    assert [list(s) for s in found[1].spans] == [[p, p + len(item)] for p in places]
+
+
+def test_hits_in_small_shards(rows, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": [d["text"] for d in rows[0]]}, pa.schema([("text", pa.string())]))
+    found = decontaminate._words(batch, "text")
+    parts = [blocks.words(*blocks.text_bytes(pa.array([i["text"]])), blocks.ALPHANUMERIC).hashes for i in rows[1]]
+    items = decontaminate.Items([str(i["item_id"]) for i in rows[1]], np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+    whole = decontaminate._hits(found, items, 10)
+    assert whole[0]
+    for size in (31, 18, 1):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+        assert decontaminate._hits(found, items, 10) == whole
+
+
 def test_longest_match(table):
     docs = table([{"doc_id": 4, "text": "x a b c d y"}, {"doc_id": 2, "text": "a b c d"}, {"doc_id": 9, "text": "b c d e f"}])
     items = docs.sparkSession.createDataFrame([("q", "A B c d e")], "item_id string, text string")
