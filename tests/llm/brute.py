@@ -128,3 +128,24 @@ def edit_distance(a, b):
             new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
         row = new
     return row[-1]
+
+
+def back_off_scores(train, texts, least=2, cut=0.75):
+    """Log-10 probability of each text by absolute discounting with back-off, over n-grams of ``least`` sightings."""
+    tokens = lambda t: [*PRINTED.findall(lower(t or "")), None]
+    seen = [Counter(tuple(w[i:i + k]) for t in train for w in [tokens(t)] for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    total, once, twice = sum(seen[0].values()), *(sum(n == k for n in seen[0].values()) for k in (1, 2))
+    off = once / (once + 2 * twice) if once and twice else 0.5
+    kept = [{g: n for g, n in c.items() if n >= least} for c in seen[1:]]
+
+    def p(gram):
+        if len(gram) == 1:
+            n = seen[0].get(gram, 0)
+            return (n - off if n else off * len(seen[0])) / total
+        if gram in kept[len(gram) - 2]:
+            return (seen[len(gram) - 1][gram] - cut) / seen[len(gram) - 2][gram[:-1]]
+        after = [g for g in kept[len(gram) - 2] if g[:-1] == gram[:-1]]
+        left = max(1 - sum(map(p, after)), 1e-9) / max(1 - sum(p(g[1:]) for g in after), 1e-9)
+        return max(left, 1e-9) * p(gram[1:])
+
+    return [sum(log10(p(tuple(w[max(0, i - 2):i + 1]))) for i in range(len(w))) for w in map(tokens, texts)]

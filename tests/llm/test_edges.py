@@ -1,4 +1,6 @@
 """Empty tables, NULL columns, repeated rows and clashing names for every operator and stage."""
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -71,6 +73,22 @@ def test_no_training_text(table):
     assert (scored.n_tokens, scored.n_known, scored.base_score, scored.score) == (3, 0, 0.0, 0.0)
 
 
+def test_every_ngram_seen_twice_counts(table, monkeypatch):
+    """Scores are those of a plain back-off model over all n-grams of two sightings, in the trie or not."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    docs += [(40, "unseen ax by rare words"), (41, "unheard ax by rare words"), (42, None)]
+    train = [d for d in docs if d[0] != 41]
+    frame = lambda rows: table([{"doc_id": i, "text": t} for i, t in rows])
+    expected = brute.back_off_scores([t for _, t in train], [t for _, t in docs])
+    for share, exact in ((1e-6, 0.05), (4e-3, 0.05), (2.0, 1e-9)):  # all in the trie, whose values are rounded; some; none
+        for name in ("WORD_SHARE", "CONTEXT_SHARE", "NGRAM_SHARE"):
+            monkeypatch.setattr(ngram_lm, name, share)
+        model, counts = ngram_lm.fit(frame(train))
+        scored = ngram_lm.score_texts(frame(docs).select("doc_id", "text"), model, counts).collect()
+        assert [r.score for r in sorted(scored)] == pytest.approx(expected, abs=exact), share
+
+
 def test_nothing_learned(table):
     row = _identified(table([{"doc_id": 1, "text": "words without any label"}])).first()
     assert (row.lang_pred, row.score) == ("und", 0.0)
