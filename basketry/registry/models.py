@@ -28,13 +28,20 @@ def once(spark: SparkSession, key: tuple, make):
 
 
 def training(spark, sf_dir) -> DataFrame:
+    """The bounded extract, which the feature queries show."""
     return once(spark, ("rows", sf_dir), lambda: spool(X.training_rows(load_star(spark, sf_dir), AS_OF), "training"))
 
 
+def all_training(spark, sf_dir) -> DataFrame:
+    """Every sale up to the month of ``AS_OF``, which the models are fitted on."""
+    return once(spark, ("all rows", sf_dir), lambda: spool(
+        X.training_rows(load_star(spark, sf_dir), AS_OF, cap=None, months=None, per_month=None), "all-training"))
+
+
 def _model(spark, sf_dir, spec: M.ModelSpec):
     def make():
         path = f"{session_folder(spark, sf_dir)}/model-{spec.target}"
-        scored = M.train_and_save(training(spark, sf_dir), spec, path, TREES, DEPTH)
+        scored = M.train_and_save(all_training(spark, sf_dir), spec, path, TREES, DEPTH)
         return M.load(path), spool(scored.select("transaction_id", "label", "prediction"), "scored")
     return once(spark, ("model", spec.target, sf_dir), make)
 

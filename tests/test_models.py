@@ -1,5 +1,6 @@
 """Series, fits and training rows."""
 import datetime as dt
+import hashlib
 import itertools
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.plans import demand as M, features as X, forecast as T
+from basketry.registry import models
+from basketry.sources.star import load_star
 
 
 def monthly(spark, series):
@@ -101,6 +104,23 @@ def test_split_is_stratified_and_repeatable(spark):
     assert len(shares) == 10 and all(abs(r.s - 0.8) < 1.0 / r.n for r in shares)
 
 
+def test_split_is_that_of_one_order_over_each_bin(spark):
+    rows = X.stratified_split(rows_of(spark, 500), "net_amount").collect()
+    for b in {r.bin for r in rows}:
+        inside = sorted((hashlib.md5(f"{r.transaction_id}#42".encode()).hexdigest(), r.split) for r in rows if r.bin == b)
+        n = int(len(inside) * 0.8 + 1e-9)
+        assert [s for _, s in inside] == ["train"] * n + ["test"] * (len(inside) - n)
+
+
+def test_models_are_fitted_on_all_sales(spark):
+    sf = "/root/testdata/sf0.001"
+    sales = X.demand_columns(load_star(spark, sf)).filter(F.col("transaction_date") <= "2001-10-31")
+    fitted = models.all_training(spark, sf)
+    assert fitted.count() == sales.count() > models.training(spark, sf).count()
+    scored = models.ml_train_demand(spark, sf).count()  # the test part, a fifth of all but for each bin's rounding
+    assert abs(scored - 0.2 * fitted.count()) <= 10
+
+
 def test_few_rows_get_fewer_bins(spark):
     assert len(X.target_bins(rows_of(spark, 12), "net_amount")) + 1 == 5
     assert X.target_bins(rows_of(spark, 3), "net_amount") is None
