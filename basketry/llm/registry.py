@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import chaining, decontaminate, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan, suffix_dedup, url_filter
+from basketry.llm import (
+    alignment, chaining, decontaminate, hard_negatives, language_id, mixing, ngram_lm, order_minhash, prefix_tree_join, secret_scan,
+    suffix_dedup, toxicity, url_filter)
 from basketry.registry.query import Query
+from basketry.session import spool
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -154,6 +157,48 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         verdicts("live").alias("n_live"), verdicts("example").alias("n_example"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return alignment.rate_links(spool(alignment.digests(aligned), "links")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST) AS place FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.other_id NULLS LAST) AS rank
+  FROM p JOIN s ON p.place <= 5 AND s.anchor = p.anchor AND NOT s.same
+                AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    apart = language_id.held_out("doc_id", 5, 0)
+    lexicon = toxicity.fit(docs.join(labels.filter(~apart), "doc_id"))
+    return toxicity.score(docs.select("doc_id", apart.alias("held_out"), "text"), lexicon).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": Query(op1_decontaminate, OP1_SQL),
@@ -166,4 +211,7 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": Query(op8_suffix_dedup),
         "op9_chained_passages": Query(op9_chained_passages),
         "op10_secret_scan": Query(op10_secret_scan),
+        "op11_align_tokenizers": Query(op11_align_tokenizers),
+        "op12_hard_negatives": Query(op12_hard_negatives, OP12_SQL),
+        "op13_toxicity": Query(op13_toxicity),
     }
