@@ -194,7 +194,7 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
     apart = language_id.held_out("doc_id", 5, 0)
-    lexicon = toxicity.fit(docs.join(labels.filter(~apart), "doc_id"))
+    lexicon = toxicity.fit(docs, labels.filter(~apart))
     return toxicity.score(docs.select("doc_id", apart.alias("held_out"), "text"), lexicon).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
 

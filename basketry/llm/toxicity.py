@@ -21,7 +21,7 @@ from basketry.llm import blocks
 from basketry.session import spool
 
 #: Labelled rows of each class that the lexicon is learned from, chosen by a hash.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: Letters of a word's beginning that may become an entry; longer words count by their first 24.
 STEM, LONGEST = range(3, 9), 24
 #: Documents an entry needs, and the least log odds of an entry.
@@ -42,11 +42,20 @@ ONE = "l"
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _LETTERS = str.maketrans(LOOKALIKES, LOOKS_LIKE) | INVISIBLE
 _DIGITS = str.maketrans(SUBSTITUTES, STANDS_FOR)
-#: A substitute counts between letters; digits also at the edge of a word that has letters.
-_DISGUISED = re.compile(r"(?<![^\W_])[0-9@$€£]*[^\W\d_][^\W_]*(?:[@$€£!|+]+[^\W_]+)+|(?<![^\W_])(?=[^\W_]*[0-9])(?=[^\W_]*[^\W\d_])[^\W_]+")
+_FOREIGN = re.compile(f"[{LOOKALIKES}{''.join(map(chr, INVISIBLE))}]")
+_DISGUISED = re.compile(r"[0-9@$€£!|+]+")
 _BETWEEN = re.compile(r"[\W_]+")
 
 
+def _uncovered(match: re.Match) -> str:
+    """Digits next to a letter as letters; signs only before a letter, ``!|+`` only between letters."""
+    run, text, start, stop = match.group(), match.string, match.start(), match.end()
+    before, after = start > 0 and text[start - 1].isalpha(), stop < len(text) and text[stop].isalpha()
+    if not (before or after) or not (after or run.isdigit()) or (not before and run[0] in "!|+"):
+        return run
+    return run.translate(_DIGITS)
+
+
 def fold(text: str | None) -> str:
     """Lower-case words between single spaces, with one at each end; disguised letters are plain ones."""
     if not text:
@@ -54,9 +63,9 @@ def fold(text: str | None) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
-    if not text.isascii():
+    if not text.isascii() and _FOREIGN.search(text):
         text = text.translate(_LETTERS)
-    text = _DISGUISED.sub(lambda m: m.group().translate(_DIGITS), text).replace("i", ONE)
+    text = _DISGUISED.sub(_uncovered, text).replace("i", ONE)
     return " " + _BETWEEN.sub(" ", text).strip() + " "
 
 
@@ -134,7 +143,7 @@ def measure(automaton, folded: str) -> float:
     return 1000 * sum(found.values()) / max(folded.count(" ") - 1, 50) if found else 0.0
 
 
-def _counted(name: str, counts: dict[str, Counter]) -> pa.RecordBatch:
+def _counted(name: str, counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     keys = sorted(set(counts[0]) | set(counts[1]))
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())],
@@ -154,11 +163,11 @@ def _per_document(rows: DataFrame, found_in) -> DataFrame:
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _sample(labelled: DataFrame, sizes: dict[int, int], train_rows: int) -> DataFrame:
-    """About ``train_rows`` of each class, those whose hash falls under the class's share."""
-    point = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
+def _sample(labels: DataFrame, sizes: dict[int, int], train_rows: int) -> DataFrame:
+    """About ``train_rows`` ids of each class, those whose hash falls under the class's share."""
+    point = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, train_rows / max(1, sizes[1])))).otherwise(F.lit(min(1.0, train_rows / max(1, sizes[0]))))
-    return labelled.filter(point < share)
+    return labels.filter(point < share)
 
 
 def _calibrated(values: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -178,30 +187,34 @@ def _calibrated(values: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> tup
     return round(float(slope), 9), round(float(offset), 9)
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", row_id: str = "doc_id", train_rows: int = TRAIN_ROWS,
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", row_id: str = "doc_id", train_rows: int = TRAIN_ROWS,
         entries: dict[str, float] | None = None, exceptions: list[str] | None = None) -> Lexicon:
-    """Learn lexicon, phrases and calibration from rows with a label 0 or 1; other labels count as none.
+    """Learn lexicon, phrases and calibration from ``docs`` and the ``labels`` (0 or 1) of their ids.
 
+    Other labels count as none; an id with several labels is toxic if one says so.
     Three passes over about ``train_rows`` whole texts of each class: documents per possible entry, per phrase around a
-    match, and per step of the measure.  An entry within another (``" ab"`` in ``" abc"``) is kept if it
-    is the heavier one or adds documents.  ``entries`` and ``exceptions`` give own ones, which are added.  Without rows of both
-    classes only those count.
+    match, and per step of the measure.  An entry that begins with another one is kept if it is heavier.  ``entries`` and
+    ``exceptions`` give own ones, which are added.  Without rows of both classes only those count.
     """
-    spark = blocks.limit_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    rows = rows.filter("toxic in (0, 1) and text is not null")
-    sizes = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    spark = blocks.limit_batches(docs.sparkSession)
+    labels = labels.select(F.col(row_id).alias("id"), F.col(toxic).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
+    labels = labels.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    sizes = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     own = {k: float(v) for k, v in (entries or {}).items()}
     known = list(exceptions or [])
     if not sizes[0] or not sizes[1]:
         return Lexicon(own, known, 1.0, -3.0, 0.0)
-    sample = spool(_sample(rows, sizes, train_rows).select("text", "toxic"), "toxic-sample")
+    # The chosen ids are about 2 x train_rows, whatever the size of the corpus, so the texts stay where they are.
+    chosen = F.broadcast(_sample(labels, sizes, train_rows))
+    texts = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).filter("text is not null")
+    sample = spool(texts.join(chosen, "id").select("text", "toxic"), "toxic-sample")
     totals = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not totals[0] or not totals[1]:
+        return Lexicon(own, known, 1.0, -3.0, 0.0)
     n_clean, n_toxic = totals[0] + 1.0, totals[1] + 1.0
 
     counted = _per_document(sample, entries_of)
     odds = F.round(F.log((F.col("toxic") + 0.5) / n_toxic) - F.log((F.col("clean") + 0.5) / n_clean), 9)
-    # The gain is the evidence that an entry divides the classes: twice the log likelihood ratio of its toxic documents.
     kept = counted.filter(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     candidates = kept.orderBy(F.desc(F.col("toxic") * F.col("odds")), "key").limit(20_000).collect()
     learned = _without_nested({r["key"]: (r["odds"], r["toxic"]) for r in candidates}) | own
