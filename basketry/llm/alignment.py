@@ -42,7 +42,7 @@ def _byte_of_character() -> dict[str, int]:
 class Pair:
     """Both encoders with the bytes of each of their entries."""
 
-    json_a: object
+    path_a: str
     fast_a: object | None
     model_b: object
     bytes_a: list[bytes]
@@ -55,30 +55,37 @@ class Pair:
     def ids_a(self, text: str) -> list[int]:
         """Ids of a space and ``text``; strings of special tokens are plain text."""
         if self.fast_a is None or LONG_SPACE.search(text):
-            return self.json_a.encode(" " + text, add_special_tokens=False).ids
+            return plain_encoder(self.path_a).encode(" " + text, add_special_tokens=False).ids
         return self.fast_a.encode_ordinary(" " + text)
 
     def ids_b(self, texts: list[str]) -> list[list[int]]:
         return self.model_b.encode(texts, num_threads=1)
 
 
+@lru_cache(maxsize=1)
+def plain_encoder(path_a: str):
+    """Side A as its file describes it; the encoder by ranks gives the same ids faster."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    encoder = tokenizers.Tokenizer.from_file(path_a)
+    encoder.encode_special_tokens = True
+    return encoder
+
+
 @lru_cache(maxsize=2)
 def load_pair(path_a: str, path_b: str) -> Pair:
     """Load the two vocabularies once per Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
     import tiktoken
-    import tokenizers
 
-    json_a = tokenizers.Tokenizer.from_file(path_a)
-    json_a.encode_special_tokens = True
-    byte_of = _byte_of_character()
-    entries = sorted(json_a.get_vocab(with_added_tokens=True).items(), key=lambda e: e[1])
-    bytes_a = [b""] * (entries[-1][1] + 1)
-    for text, i in entries:
-        bytes_a[i] = bytes(byte_of[c] for c in text) if all(c in byte_of for c in text) else text.encode()
     with open(path_a, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        description = json.load(f)
+    model, byte_of = description["model"], _byte_of_character()
+    entries = model["vocab"] | {t["content"]: t["id"] for t in description["added_tokens"]}
+    bytes_a = [b""] * (max(entries.values()) + 1)
+    for text, i in entries.items():
+        bytes_a[i] = bytes(byte_of[c] for c in text) if all(c in byte_of for c in text) else text.encode()
     # Merging by rank needs ids in the order of the merges.
     merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
     ranked = all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merged))
@@ -89,7 +96,7 @@ def load_pair(path_a: str, path_b: str) -> Pair:
     bytes_b = [
         bytes([int(model_b.id_to_piece(i)[3:-1], 16)]) if model_b.is_byte(i) else model_b.id_to_piece(i).replace("▁", " ").encode()
         for i in range(model_b.get_piece_size())]
-    return Pair(json_a, fast_a, model_b, bytes_a, bytes_b)
+    return Pair(path_a, fast_a, model_b, bytes_a, bytes_b)
 
 
 @lru_cache(maxsize=2)
@@ -111,28 +118,31 @@ def possible_links(path_a: str, path_b: str) -> np.ndarray:
     return np.array(sorted(keys), np.int64)
 
 
-def common_cuts(ids_a: list[int], ids_b: list[int], length_a: np.ndarray, length_b: np.ndarray) -> tuple[list[int], list[int]]:
+def common_cuts(ids_a: np.ndarray, ids_b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of tokens of each side before every end that both sides have, in order."""
     after_a = dict(zip(np.cumsum(length_a[ids_a]).tolist(), range(1, len(ids_a) + 1)))
     after_b = dict(zip(np.cumsum(length_b[ids_b]).tolist(), range(1, len(ids_b) + 1)))
-    ends = sorted(after_a.keys() & after_b.keys())
-    return [after_a[e] for e in ends], [after_b[e] for e in ends]
+    ends = sorted(filter(after_a.__contains__, after_b))
+    return tuple(np.fromiter(map(after.__getitem__, ends), np.int32, len(ends)) for after in (after_a, after_b))
 
 
-def align_texts(pair: Pair, texts: list[str | None]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
-    """Ids and cuts of each text; empty lists for no text and where the bytes are not the text's."""
+def align_texts(pair: Pair, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and cuts of each text; empty arrays for no text and where the bytes are not the text's."""
     texts = [t or "" for t in texts]
     out = []
     for text, b in zip(texts, pair.ids_b(texts)):
         whole = b" " + text.encode()
         a = pair.ids_a(text) if text else []
-        same = text and b"".join([pair.bytes_a[i] for i in a]) == whole and b"".join([pair.bytes_b[i] for i in b]) == whole
-        out.append((a, b, *common_cuts(a, b, pair.length_a, pair.length_b)) if same else ([], [], [], []))
+        if text and b"".join([pair.bytes_a[i] for i in a]) == whole and b"".join([pair.bytes_b[i] for i in b]) == whole:
+            a, b = np.array(a, np.int32), np.array(b, np.int32)
+            out.append((a, b, *common_cuts(a, b, pair.length_a, pair.length_b)))
+        else:
+            out.append((np.zeros(0, np.int32),) * 4)
     return out
 
 
-def _int_lists(lists: list[list[int]]) -> pa.Array:
-    flat = np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
+def _int_lists(lists: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
     return blocks.list_array(pa.array(flat, pa.int32()), np.array([len(x) for x in lists], np.int64))
 
 
