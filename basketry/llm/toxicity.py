@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
 
     Other labels count as none; an id with several labels is toxic if one says so.
     Three passes over about ``train_rows`` whole texts of each class: documents per possible entry, per phrase around a
-    match, and per step of the measure.  An entry that begins with another one is kept if it is heavier.  ``entries`` and
+    match, and per step of the measure.  ``entries`` and
     ``exceptions`` give own ones, which are added.  Without rows of both classes only those count.
     """
     spark = blocks.limit_batches(docs.sparkSession)
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
     odds = F.round(F.log((F.col("toxic") + 0.5) / n_toxic) - F.log((F.col("clean") + 0.5) / n_clean), 9)
     kept = counted.filter(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     candidates = kept.orderBy(F.desc(F.col("toxic") * F.col("odds")), "key").limit(20_000).collect()
-    learned = _without_nested({r["key"]: (r["odds"], r["toxic"]) for r in candidates}) | own
+    learned = _without_nested({r["key"]: (r["odds"], r["toxic"], r["clean"]) for r in candidates}) | own
 
     sent = spark.sparkContext.broadcast(Lexicon(learned))
     automata: list = []
@@ -246,13 +246,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
     return lexicon
 
 
-def _without_nested(candidates: dict[str, tuple[float, int]]) -> dict[str, float]:
-    """Entries whose beginnings do not already stand for them: heavier by 0.1 than every shorter entry, or alone."""
+def _without_nested(candidates: dict[str, tuple[float, int, int]]) -> dict[str, float]:
+    """Entries (odds, toxic and clean documents) that say more than the others they begin or end with.
+
+    A beginning goes where one longer entry has as good as all its toxic documents, so ``" idiot "`` stays and ``" idi"``
+    goes; a longer entry goes unless it is heavier than what is left of its beginnings.
+    """
+    vague = set()
+    for key, (_, toxic, clean) in candidates.items():
+        for shorter in (key[:n] for n in range(2, len(key))):
+            if shorter in candidates and toxic >= 0.98 * candidates[shorter][1] and clean <= candidates[shorter][2]:
+                vague.add(shorter)
     out: dict[str, float] = {}
-    for key in sorted(candidates, key=lambda k: (len(k.strip()), k)):
+    for key in sorted(candidates.keys() - vague, key=lambda k: (len(k), k)):
         weight = candidates[key][0]
-        shorter = [out[key[:n]] for n in range(2, len(key)) if key[:n] in out]
-        if not shorter or weight > max(shorter) + 0.1:
+        if weight > max((out[key[:n]] for n in range(2, len(key)) if key[:n] in out), default=weight - 1) + 0.1:
             out[key] = weight
     return out
 
