@@ -1,12 +1,12 @@
 """Dimensions, fact promotion, product history and integrity checks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from basketry.functions.money import big
 from basketry.operators.silver import Lake
 from basketry.sources.bronze import latest_dim
-from basketry.sources.sinks import insert_absent, read_or_empty, upsert
+from basketry.sources.versions import VersionedTable
 
 
 # ---------------------------------------------------------------- dimensions
@@ -65,22 +65,42 @@ def promotable(silver: DataFrame, product: DataFrame, store: DataFrame, calendar
     )
 
 
+FACT_SCHEMA = T.StructType([
+    T.StructField("transaction_id", T.StringType()),
+    T.StructField("sku_id", T.StringType()),
+    T.StructField("store_id", T.StringType()),
+    T.StructField("transaction_date", T.DateType()),
+    T.StructField("transaction_time", T.TimestampType()),
+    T.StructField("quantity", T.IntegerType()),
+    T.StructField("unit_price", T.DecimalType(10, 2)),
+    T.StructField("total_amount", T.DecimalType(12, 2)),
+    T.StructField("discount_amount", T.DecimalType(10, 2)),
+    T.StructField("net_amount", T.DecimalType(12, 2)),
+    T.StructField("sale_year", T.IntegerType()),
+])
+
+
+def fact_table(spark: SparkSession, lake: Lake) -> VersionedTable:
+    """The fact: one row per transaction, in folders by year."""
+    return VersionedTable(spark, lake.fact, FACT_SCHEMA, ["transaction_id"], "sale_year")
+
+
 def promote(spark: SparkSession, lake: Lake, silver: DataFrame, product: DataFrame, store: DataFrame,
-            calendar: DataFrame, mode: str = "insert") -> int:
+            calendar: DataFrame, mode: str = "insert", tag: str | None = None) -> int:
     """Add promotable rows to the fact and return how many are new.
 
     ``silver`` may be the whole clean layer or, after a run, just that run's rows; the
     whole is needed once when a dimension has gained rows.
     ``insert`` never changes a fact row, so a later correction stays in the clean layer;
-    ``upsert`` lets the correction through.
+    ``upsert`` lets the correction through.  With a ``tag`` (a run's id) a second call adds nothing and gives the first one's count.
     """
     rows = fact_rows(promotable(silver, product, store, calendar)).withColumn("sale_year", F.year("transaction_date"))
+    fact = fact_table(spark, lake)
     if mode == "insert":
-        return insert_absent(spark, rows, lake.fact, ["transaction_id"], ["sale_year"])
+        return fact.insert_absent(rows, tag)
     if mode == "upsert":
-        before = read_or_empty(spark, lake.fact, rows.schema).count()
-        upsert(spark, rows, lake.fact, ["transaction_id"], "sale_year")
-        return spark.read.parquet(lake.fact).count() - before
+        before = fact.read().count()
+        return fact.read(fact.upsert(rows, tag)).count() - before
     raise ValueError(f"unknown mode: {mode}")
 
 

@@ -16,11 +16,13 @@ from basketry.operators import quality
 from basketry.operators.adapter import CANONICAL
 from basketry.operators.latest import latest_per_key
 from basketry.session import spool
-from basketry.sources.sinks import append, read_or_empty, replace_run, upsert
+from basketry.sources.sinks import replace_run
+from basketry.sources.versions import VersionedTable
 
 KEY = ["source_system", "source_txn_id"]
 NEWEST = ["ingested_at", "batch_id", "ingest_seq"]
 ARRIVAL = "arrival"  # stored copies arrived before those of the current batch
+ROW = "row_number"  # written down with the rows of a batch, so that it is the same in every reader
 FLAGS = ["sku_unmatched", "late_arrival"]
 PARTITION = "txn_month"
 
@@ -78,6 +80,11 @@ class Lake:
         return self.path("gold", "sales")
 
 
+def table(spark: SparkSession, lake: Lake) -> VersionedTable:
+    """The clean layer: one row per transaction, in folders by month."""
+    return VersionedTable(spark, lake.silver, SILVER_SCHEMA, KEY, PARTITION)
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """One row per transaction: latest landing time, then larger batch, then later arrival."""
     return latest_per_key(rows, KEY, [F.col(c).desc() for c in NEWEST])
@@ -100,8 +107,11 @@ def with_existing(current: DataFrame, silver: DataFrame) -> DataFrame:
 
 
 def tag_copies(rows: DataFrame) -> DataFrame:
-    """Every copy with its key's winner (``kept``) and whether it is the winner itself."""
-    order = F.struct(*NEWEST, *([ARRIVAL] if ARRIVAL in rows.columns else []))
+    """Every copy with its key's winner (``kept``) and whether it is the winner itself.
+
+    Copies that tie in all of these are told apart by their row number, where there is one.
+    """
+    order = F.struct(*NEWEST, *[c for c in (ARRIVAL, ROW) if c in rows.columns])
     winners = rows.groupBy(*KEY).agg(F.max(order).alias("kept"))
     return rows.join(winners, KEY).withColumn("is_kept", order == F.col("kept"))
 
@@ -143,17 +153,25 @@ def with_status(counts: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(balanced, "ok").otherwise("reconciliation_warning"))
 
 
-def classify(adapted: DataFrame, silver: DataFrame, product: DataFrame, month: dt.date | None,
-             now: dt.datetime) -> DataFrame:
-    """Each current row, and each stored row it competes with, with its outcome."""
+def prepare(adapted: DataFrame, product: DataFrame, month: dt.date | None, now: dt.datetime) -> DataFrame:
+    """Adapted rows with reasons to reject, flags and a row number, written down once.
+
+    The steps that follow read this copy: nothing is adapted again, and a row that is computed anew after the
+    loss of an executor cannot get another number.
+    """
     if "ingest_seq" not in adapted.columns:
-        # Written down at once: a number given anew to a recomputed row would match no winner.
-        adapted = spool(adapted.withColumn("ingest_seq", F.monotonically_increasing_id()), "sequenced")
-    valid, rejected = quality.split(adapted, now)
+        adapted = adapted.withColumn("ingest_seq", F.monotonically_increasing_id())
     # A catch-up load holds many months; its rows say which one they belong to.
     batch_month = F.col("batch_month") if month is None else F.lit(month.replace(day=1))
-    flagged = quality.flag_late(quality.flag_sku_unmatched(valid, product), batch_month)
-    tagged = tag_copies(with_existing(flagged, silver)).withColumn(
+    flagged = quality.flag_late(quality.flag_sku_unmatched(quality.check(adapted, now), product), batch_month)
+    return spool(flagged.withColumn(ROW, F.monotonically_increasing_id()), "prepared")
+
+
+def classify(prepared: DataFrame, silver: DataFrame) -> DataFrame:
+    """Each current row, and each stored row it competes with, with its outcome."""
+    valid = prepared.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    rejected = prepared.filter(F.col("reject_reason").isNotNull())
+    tagged = tag_copies(with_existing(valid, silver)).withColumn(
         "outcome", F.when(F.col("is_kept"), "loaded").otherwise("deduped"))
     return tagged.unionByName(
         rejected.withColumns({"origin": F.lit("current"), "outcome": F.lit("rejected")}),
@@ -161,35 +179,45 @@ def classify(adapted: DataFrame, silver: DataFrame, product: DataFrame, month: d
     )
 
 
-def process_batch(spark: SparkSession, lake: Lake, adapted: DataFrame, product: DataFrame, month: dt.date | None,
-                  run_id: str, now: dt.datetime) -> dict:
+def take_batch(spark: SparkSession, lake: Lake, adapted: DataFrame, product: DataFrame, month: dt.date | None,
+               run_id: str, now: dt.datetime) -> tuple[dict, DataFrame]:
     """Take one batch of adapted rows (a month, or a catch-up of many) into the clean layer.
 
-    The classified rows are written once; the four sinks and the counts read that copy.
+    Returns the run's counts and the clean rows that it has loaded.  The run starts from the commit before its own, if it has made
+    one: called again with the same rows, after a crash at any step or none, it leaves what one
+    call leaves.  Rejected rows, audit and log have a folder per run, which is replaced.
     """
-    silver = read_or_empty(spark, lake.silver, SILVER_SCHEMA)
-    rows = spool(classify(adapted, silver, product, month, now), "outcomes")
+    clean = table(spark, lake)
+    base = clean.before(run_id)
+    prepared = prepare(adapted, product, month, now)
+    silver = clean.holding(prepared.select(*KEY), base)
+    rows = spool(classify(prepared, silver), "outcomes")
 
-    # One folder per run: a run that is replayed after a crash replaces what it left.
     replace_run(rows.filter("outcome = 'rejected'").withColumn("rejected_at", F.lit(now)), lake.rejected, REJECTED_COLUMNS, run_id)
     contest = rows.filter("outcome <> 'rejected'")
     replace_run(audit_rows(contest, now), lake.audit, AUDIT_COLUMNS, run_id)
     # A stored row that keeps its place needs no rewrite.
-    changed = contest.filter("outcome = 'loaded' and origin = 'current'")
-    upsert(spark, as_silver(changed), lake.silver, KEY, PARTITION)
+    loaded = as_silver(contest.filter("outcome = 'loaded' and origin = 'current'"))
+    clean.upsert(loaded, run_id, base)
 
     run = outcome_counts(rows).select(
         F.lit(run_id).alias("run_id"), F.lit(month and month.replace(day=1)).cast("date").alias("target_month"),
         F.lit(now).alias("started_at"), F.current_timestamp().alias("completed_at"), "*",
     ).first().asDict()
     log = spark.createDataFrame([run], RUN_SCHEMA)
-    append(log, lake.runs, log.columns)
-    return run
+    replace_run(log, lake.runs, [c for c in log.columns if c != "run_id"], run_id)
+    return run, loaded
+
+
+def process_batch(spark: SparkSession, lake: Lake, adapted: DataFrame, product: DataFrame, month: dt.date | None,
+                  run_id: str, now: dt.datetime) -> dict:
+    """``take_batch`` without the loaded rows: the run's counts."""
+    return take_batch(spark, lake, adapted, product, month, run_id, now)[0]
 
 
-def rows_of_batches(silver: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows that came with one of the batch's landings."""
-    return silver.join(batch.select("batch_id").distinct(), "batch_id", "left_semi")
+def read_runs(spark: SparkSession, lake: Lake) -> DataFrame:
+    """The run log."""
+    return spark.read.schema(RUN_SCHEMA).parquet(lake.runs)
 
 
 # ------------------------------------------------------------------ backfill

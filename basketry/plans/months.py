@@ -9,7 +9,6 @@ from basketry.operators import gold, silver as S
 from basketry.operators.adapter import adapt_all
 from basketry.operators.silver import Lake
 from basketry.sources import bronze
-from basketry.sources.sinks import read_or_empty
 from basketry.sources.star import Star, enriched_sales
 
 
@@ -29,22 +28,20 @@ def run_month(spark: SparkSession, lake: Lake, feeds: dict[str, DataFrame], mont
     """Land each native feed of the month, adapt, clean and promote; the run's counts.
 
     A feed is landed under ``<source>_<yyyymm>`` and read back from its own folder, so what is
-    cleaned is what was landed.
+    cleaned is what was landed.  Called again, after a crash at any step or none, it
+    leaves what one call leaves and returns the same counts.
     """
     landed = {}
     for source, rows in feeds.items():
         batch = f"{source}_{month:%Y%m}"
-        bronze.land(rows, lake.path("bronze", source), source, f"{batch}.csv", batch, now)
-        landed[source] = bronze.read_batch(spark, lake.path("bronze", source), batch)
-    adapted = adapt_all(landed)
-    run = S.process_batch(spark, lake, adapted, product, month, f"run_{month:%Y%m}", now)
-    silver = read_or_empty(spark, lake.silver, S.SILVER_SCHEMA)
-    promoted = gold.promote(spark, lake, S.rows_of_batches(silver, adapted), product, store, calendar)
-    return {**run, "rows_promoted": promoted}
+        landed[source] = bronze.land_once(rows, lake.path("bronze", source), source, f"{batch}.csv", batch, now)
+    run_id = f"run_{month:%Y%m}"
+    run, loaded = S.take_batch(spark, lake, adapt_all(landed), product, month, run_id, now)
+    return {**run, "rows_promoted": gold.promote(spark, lake, loaded, product, store, calendar, tag=run_id)}
 
 
 def star_from_lake(spark: SparkSession, lake: Lake, product: DataFrame, store: DataFrame, region: DataFrame,
                    calendar: DataFrame, weather: DataFrame) -> Star:
     """The star over the fact that promotion has written; all views and reports take it."""
-    fact = spark.read.parquet(lake.fact).drop("sale_year")
+    fact = gold.fact_table(spark, lake).read().drop("sale_year")
     return Star(enriched_sales(fact, product, store, region), product, store, region, calendar, weather)

@@ -166,11 +166,10 @@ def sink_append(spark, sf_dir):
 
 
 def sink_upsert(spark, sf_dir):
-    path = fresh(spark, "silver")
-    rows, update = _table_writes(spark, sf_dir)
-    sinks.upsert(spark, rows, path, S.KEY, S.PARTITION)
-    sinks.upsert(spark, update, path, S.KEY, S.PARTITION)
-    return spark.read.parquet(path).select(*S.KEY, "batch_id", "sku", "quantity", "unit_price", ts6("ingested_at"))
+    table = S.table(spark, S.Lake(fresh(spark, "silver")))
+    for rows in _table_writes(spark, sf_dir):
+        table.upsert(rows)
+    return table.read().select(*S.KEY, "batch_id", "sku", "quantity", "unit_price", ts6("ingested_at"))
 
 
 def sink_insert_absent(spark, sf_dir):
@@ -305,11 +304,10 @@ judged AS (
 
 
 def merge_silver(spark, sf_dir):
-    path = fresh(spark, "merged")
-    rows, update = _table_writes(spark, sf_dir)
-    sinks.upsert(spark, rows, path, S.KEY, S.PARTITION)
-    sinks.upsert(spark, update, path, S.KEY, S.PARTITION)
-    return spark.read.parquet(path).groupBy("source_system", "txn_month").agg(
+    table = S.table(spark, S.Lake(fresh(spark, "merged")))
+    for rows in _table_writes(spark, sf_dir):
+        table.upsert(rows)
+    return table.read().groupBy("source_system", "txn_month").agg(
         big(F.count("*")).alias("rows"), big(F.sum("quantity")).alias("quantity"),
         big(F.count_if("sku_unmatched")).alias("unmatched"), big(F.count_if("late_arrival")).alias("late"))
 
@@ -344,10 +342,8 @@ def run_chain(spark: SparkSession, sf_dir: str, batches: list[tuple[str, Column,
     rows = canonical(spark, sf_dir)
     product = known_product(spark, sf_dir)
     for run_id, which, month in batches:
-        batch = rows.filter(which)
-        S.process_batch(spark, lake, batch, product, month, run_id, NOW)
-        silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
-        gold.promote(spark, lake, S.rows_of_batches(silver, batch), product, store_dim(spark, sf_dir), calendar_dim(spark))
+        _, loaded = S.take_batch(spark, lake, rows.filter(which), product, month, run_id, NOW)
+        gold.promote(spark, lake, loaded, product, store_dim(spark, sf_dir), calendar_dim(spark), tag=run_id)
     return lake
 
 
@@ -359,8 +355,8 @@ def batch_chain(spark, sf_dir):
     """History as one catch-up load, then the rest: the run log and the fact they leave."""
     cut = F.lit(dt.date(2001, 1, 1))
     lake = run_chain(spark, sf_dir, [("run_1", F.col("batch_month") < cut, None), ("run_2", F.col("batch_month") >= cut, None)])
-    fact = spark.read.parquet(lake.fact).agg(F.count("*").alias("n"), F.sum("net_amount").cast("double").alias("net"))
-    return spark.read.parquet(lake.runs).select(
+    fact = gold.fact_table(spark, lake).read().agg(F.count("*").alias("n"), F.sum("net_amount").cast("double").alias("net"))
+    return S.read_runs(spark, lake).select(
         "run_id", "rows_in", "rows_loaded", "rows_rejected", "rows_deduped", "status",
         big(fact.select("n").scalar()).alias("fact_rows"), fact.select("net").scalar().alias("fact_net"))
 
@@ -368,7 +364,7 @@ def batch_chain(spark, sf_dir):
 def run_log(spark, sf_dir):
     lake = S.Lake(fresh(spark, "lake"))
     S.process_batch(spark, lake, canonical(spark, sf_dir), known_product(spark, sf_dir), None, "run_all", NOW)
-    return spark.read.parquet(lake.runs).select(
+    return S.read_runs(spark, lake).select(
         "run_id", ts("started_at"), "rows_in", "rows_loaded", "rows_rejected", "rows_deduped", "status")
 
 

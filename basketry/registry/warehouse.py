@@ -16,7 +16,7 @@ from basketry.registry.feeds import (
 from basketry.registry.feeds_sql import feeds
 from basketry.registry.query import Query
 from basketry.registry.star_sql import big as sql_big, dbl as sql_dbl, ratio, star
-from basketry.session import configure
+from basketry.session import configure, spool
 from basketry.sources import sinks
 from basketry.sources.feeds import FEED_SCHEMAS, SOURCES, landed_feed
 from basketry.sources.star import calendar_dim, calendar_over, load_star, product_dim, region_dim, store_dim, table, weather_dim
@@ -128,11 +128,10 @@ def fact_promote(spark, sf_dir):
 
 def fact_idempotent(spark, sf_dir):
     lake = S.Lake(fresh(spark, "promote"))
-    sinks.append(_silver(spark, sf_dir), lake.silver, S.SILVER_SCHEMA.names)
-    silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
+    silver = spool(_silver(spark, sf_dir), "survivors")
     dims = known_product(spark, sf_dir), store_dim(spark, sf_dir), calendar_dim(spark)
     first, second = (gold.promote(spark, lake, silver, *dims) for _ in range(2))
-    return spark.read.parquet(lake.fact).agg(
+    return gold.fact_table(spark, lake).read().agg(
         F.lit(first).cast("bigint").alias("first_promotion"), F.lit(second).cast("bigint").alias("second_promotion"),
         big(F.count("*")).alias("fact_rows"))
 

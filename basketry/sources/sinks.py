@@ -1,12 +1,10 @@
-"""Writes: append, insert-if-absent, replace-by-key and CSV export, on Parquet folders."""
+"""Writes: append, insert-if-absent, replace-a-run and CSV export, on Parquet folders."""
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from basketry.session import drop_path, path_exists, spool
+from basketry.session import path_exists
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -82,57 +80,5 @@ def replace_run(df: DataFrame, path: str, columns: list[str], run_id: str) -> No
     )
 
 
-#: Folder name that the writer gives to a NULL partition value.
-NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
-
-
-def _folders(spark: SparkSession, path: str, partition: str) -> dict[str | None, str]:
-    """Partition folders by the value they stand for, with the writer's escapes undone."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory()]
-    values = {n: n.partition("=")[2] for n in names if n.startswith(f"{partition}=")}
-    return {None if v == NULL_FOLDER else unquote(v): n for n, v in values.items()}
-
-
-def upsert(spark: SparkSession, updates: DataFrame, path: str, keys: list[str], partition: str) -> None:
-    """Replace the target rows that share a key with ``updates``, which must hold a key once.
-
-    Only partitions that hold an old or a new version are rewritten, a NULL partition among them.
-    The new content of all of them is staged in the shared folder first; what is moved into place
-    and which folders are left without rows follows from the staged files, not from what a
-    job reported.  A commit that breaks off can be run again.
-    """
-    updates = spool(updates, "updates")  # read several times below
-    if not updates.groupBy(*keys).count().filter("count > 1").isEmpty():
-        raise ValueError(f"updates hold a key of {keys} more than once")
-    if not path_exists(spark, path):
-        _by_folder(updates, [partition]).write.mode("overwrite").partitionBy(partition).parquet(path)
-        return
-    target = spark.read.schema(updates.schema).parquet(path)
-    batch_keys = updates.select(*keys).distinct()
-    old = target.join(batch_keys, keys, "left_semi").select(partition)
-    # Partition values are months: a short list, unlike the rows behind them.
-    touched = old.union(updates.select(partition)).distinct()
-    values = [r[0] for r in touched.collect()]
-    if not values:
-        return
-    known = [v for v in values if v is not None]
-    part_is = F.col(partition).isin(known) if known else F.lit(False)
-    if None in values:
-        part_is = F.coalesce(part_is, F.lit(False)) | F.col(partition).isNull()
-    kept = target.filter(part_is).join(batch_keys, keys, "left_anti")
-    staged = spool(kept.unionByName(updates), "staged")
-    written = {None if r[0] is None else str(r[0]) for r in staged.select(partition).distinct().collect()}
-    (
-        _by_folder(staged, [partition]).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    )
-    folders = _folders(spark, path, partition)
-    for value in {None if v is None else str(v) for v in values} - written:
-        if value in folders:
-            drop_path(spark, f"{path}/{folders[value]}")
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

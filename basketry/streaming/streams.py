@@ -58,18 +58,14 @@ def chain_stream(landed: dict[str, DataFrame], lake: S.Lake, checkpoint: str, pr
                  calendar: DataFrame, now: dt.datetime, name: str) -> None:
     """Every micro-batch of landed rows through the clean layer into the fact.
 
-    ``name`` tells the streams of a lake apart: with the batch number it is the run id.  A batch
-    that was logged is not cleaned again, but it is promoted again, which adds only what is
-    missing; so a crash at any step is made good by the restart.
+    ``name`` tells the streams of a lake apart: with the batch number it is the run id.  A batch that is taken
+    again after a crash at any step leaves what one call leaves.
     """
     def take(rows: DataFrame, batch_number: int) -> None:
         spark = rows.sparkSession
         run_id = f"{name}_{batch_number}"
-        logged = sinks.read_or_empty(spark, lake.runs, T._parse_datatype_string(S.RUN_SCHEMA))
-        if logged.filter(F.col("run_id") == run_id).isEmpty():
-            S.process_batch(spark, lake, rows, product, None, run_id, now)
-        silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
-        gold.promote(spark, lake, S.rows_of_batches(silver, rows), product, store, calendar)
+        _, loaded = S.take_batch(spark, lake, rows, product, None, run_id, now)
+        gold.promote(spark, lake, loaded, product, store, calendar, tag=run_id)
 
     _finish(
         adapt_all(landed).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

@@ -17,7 +17,7 @@ def run(spark, lake, dims, rows, run_id="run_test", month=MONTH):
 
 
 def silver(spark, lake):
-    return spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
+    return S.table(spark, lake).read()
 
 
 def random_batch(rng, size):
@@ -65,7 +65,7 @@ def test_random_batches_keep_the_rules(spark, lake, dims, canonical, seed):
     reasons = sorted("; ".join(sorted(r.reject_reason.split("; "))) for r in spark.read.parquet(lake.rejected).collect())
     assert reasons == sorted("; ".join(sorted(faults(r))) for r in rejected)
     assert spark.read.parquet(lake.audit).count() == dropped
-    log = spark.read.parquet(lake.runs).collect()
+    log = S.read_runs(spark, lake).collect()
     assert len(log) == 2 and all(r.rows_in == r.rows_loaded + r.rows_rejected + r.rows_deduped for r in log)
 
 
@@ -123,12 +123,12 @@ def test_promotion_measures_grain_and_idempotence(spark, lake, dims, canonical):
         {"source_txn_id": "orphan", "sku": "SKU-ORPHAN"}, {"source_txn_id": "nowhere", "store_id": "STORE-X"},
         {"source_txn_id": "undated", "txn_timestamp": dt.datetime(2026, 1, 5)}]))
     assert gold.promote(spark, lake, silver(spark, lake), *dims) == 2
-    fact = spark.read.parquet(lake.fact)
+    fact = gold.fact_table(spark, lake).read()
     assert gold.grain(fact).first() == (2, 2, True)
     g1 = fact.filter("transaction_id = 'pos_system_a-g1'").first()
     assert (g1.quantity, float(g1.total_amount), float(g1.net_amount)) == (2, 20.0, 19.0)
     assert gold.promote(spark, lake, silver(spark, lake), *dims) == 0
-    assert spark.read.parquet(lake.fact).count() == 2
+    assert gold.fact_table(spark, lake).read().count() == 2
     assert sorted(r.orphans for r in gold.orphan_counts(fact, *dims).collect()) == [0, 0, 0]
 
 
@@ -136,7 +136,7 @@ def test_corrections_reach_the_fact_only_on_upsert(spark, lake, dims, canonical)
     run(spark, lake, dims, canonical([{"source_txn_id": "X", "unit_price": 5.0, "ingested_at": T9}]), "r1")
     gold.promote(spark, lake, silver(spark, lake), *dims)
     run(spark, lake, dims, canonical([{"source_txn_id": "X", "unit_price": 6.0, "ingested_at": T9 + SEC}]), "r2")
-    price = lambda: [float(r.unit_price) for r in spark.read.parquet(lake.fact).collect()]
+    price = lambda: [float(r.unit_price) for r in gold.fact_table(spark, lake).read().collect()]
     assert gold.promote(spark, lake, silver(spark, lake), *dims) == 0 and price() == [5.0]
     assert gold.promote(spark, lake, silver(spark, lake), *dims, mode="upsert") == 0 and price() == [6.0]
 
@@ -172,4 +172,4 @@ def test_backfill_in_one_job_equals_the_monthly_loop(spark, lake, dims, canonica
     cols = ["source_txn_id", "batch_id", "ingested_at", "unit_price", "quantity", "sku_unmatched", "late_arrival"]
     assert sorted(S.backfill_silver(state).select(cols).collect()) == sorted(silver(spark, lake).select(cols).collect())
     fact = ["transaction_id", "sku_id", "quantity", "unit_price", "transaction_date"]
-    assert sorted(gold.fact_rows(gold_rows).select(fact).collect()) == sorted(spark.read.parquet(lake.fact).select(fact).collect())
+    assert sorted(gold.fact_rows(gold_rows).select(fact).collect()) == sorted(gold.fact_table(spark, lake).read().select(fact).collect())

@@ -51,21 +51,6 @@ def test_insert_absent_is_idempotent(spark, tmp_path, join_style):
     assert len(got) == 10 and got["0"] == "first" and got["9"] == "second"
 
 
-def test_upsert_rewrites_only_touched_partitions_and_empties_old_ones(spark, tmp_path, join_style):
-    path = str(tmp_path / "t")
-    first = spark.createDataFrame([("a", 1, "m1"), ("b", 1, "m2"), ("c", 1, "m2"), ("d", 1, "m3")], "k string, v int, m string")
-    sinks.upsert(spark, first, path, ["k"], "m")
-    untouched = {f.stat().st_mtime_ns for f in (tmp_path / "t" / "m=m3").glob("*.parquet")}
-    change = spark.createDataFrame([("a", 2, "m2"), ("e", 2, "m4")], "k string, v int, m string")
-    sinks.upsert(spark, change, path, ["k"], "m")
-    got = sorted(spark.read.schema(first.schema).parquet(path).select("k", "v", "m").collect())
-    assert got == [("a", 2, "m2"), ("b", 1, "m2"), ("c", 1, "m2"), ("d", 1, "m3"), ("e", 2, "m4")]
-    assert not (tmp_path / "t" / "m=m1").exists()
-    assert untouched == {f.stat().st_mtime_ns for f in (tmp_path / "t" / "m=m3").glob("*.parquet")}
-    sinks.upsert(spark, change, path, ["k"], "m")
-    assert sorted(spark.read.schema(first.schema).parquet(path).select("k", "v", "m").collect()) == got
-
-
 def test_latest_dim(spark):
     rows = spark.createDataFrame([("s", 1, "old"), ("s", 2, "new"), ("t", 1, "only")], "k string, ingested_at int, v string")
     assert sorted(bronze.latest_dim(rows, ["k"]).select("k", "v").collect()) == [("s", "new"), ("t", "only")]
@@ -84,36 +69,6 @@ def test_unknown_format_is_refused(spark):
         read_feed(spark, "pos_system_a", "x", "xml")
 
 
-def rows_of(spark, path, schema):
-    return sorted((tuple(r) for r in spark.read.schema(schema).parquet(path).select("k", "v", "m").collect()), key=repr)
-
-
-@pytest.mark.parametrize("folder", [None, "x:y", "a b/c=d%", "plain"])
-def test_upsert_keeps_and_empties_odd_folders(spark, tmp_path, join_style, folder):
-    path, schema = str(tmp_path / "t"), "k string, v int, m string"
-    first = spark.createDataFrame([("a", 1, folder), ("b", 1, folder), ("c", 1, "2001-01")], schema)
-    sinks.upsert(spark, first, path, ["k"], "m")
-    sinks.upsert(spark, spark.createDataFrame([("a", 2, folder)], schema), path, ["k"], "m")
-    assert rows_of(spark, path, first.schema) == sorted([("a", 2, folder), ("b", 1, folder), ("c", 1, "2001-01")], key=repr)
-    sinks.upsert(spark, spark.createDataFrame([("a", 3, "2001-01"), ("b", 3, "2001-01")], schema), path, ["k"], "m")
-    assert rows_of(spark, path, first.schema) == [("a", 3, "2001-01"), ("b", 3, "2001-01"), ("c", 1, "2001-01")]
-    assert [f.name for f in (tmp_path / "t").glob("m=*")] == ["m=2001-01"]
-
-
-def test_upsert_refuses_a_key_twice(spark, tmp_path):
-    twice = spark.createDataFrame([("a", 1, "m"), ("a", 2, "n")], "k string, v int, m string")
-    with pytest.raises(ValueError):
-        sinks.upsert(spark, twice, str(tmp_path / "t"), ["k"], "m")
-
-
-def test_upsert_of_nothing(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "k string, v int, m string"
-    first = spark.createDataFrame([("a", 1, "m")], schema)
-    sinks.upsert(spark, first, path, ["k"], "m")
-    sinks.upsert(spark, spark.createDataFrame([], schema), path, ["k"], "m")
-    assert rows_of(spark, path, first.schema) == [("a", 1, "m")]
-
-
 def test_an_unreadable_count_is_not_taken_for_nothing(spark, tmp_path):
     from py4j.protocol import Py4JJavaError
 

@@ -32,11 +32,11 @@ def test_chain_stream_takes_files_batch_by_batch(spark, dims, tmp_path):
     feed_file(spark, path, [row(2, 999), row(4, 400)], "b2", at + dt.timedelta(days=1))
     run()
     run()  # nothing new
-    silver = spark.read.schema(S.SILVER_SCHEMA).parquet(lake.silver)
+    silver = S.table(spark, lake).read()
     assert dict(silver.select("source_txn_id", "unit_price").collect()) == {"B-1": 1.0, "B-2": 9.99, "B-4": 4.0}
-    runs = {r.run_id: (r.rows_in, r.rows_loaded, r.rows_rejected, r.rows_deduped) for r in spark.read.parquet(lake.runs).collect()}
+    runs = {r.run_id: (r.rows_in, r.rows_loaded, r.rows_rejected, r.rows_deduped) for r in S.read_runs(spark, lake).collect()}
     assert runs == {"stream_0": (3, 2, 1, 0), "stream_1": (2, 2, 0, 0)}
-    fact = dict(spark.read.parquet(lake.fact).select("transaction_id", F.col("unit_price").cast("double")).collect())
+    fact = dict(streams.gold.fact_table(spark, lake).read().select("transaction_id", F.col("unit_price").cast("double")).collect())
     assert fact == {"pos_system_b-B-1": 1.0, "pos_system_b-B-2": 2.0, "pos_system_b-B-4": 4.0}
 
 
@@ -66,15 +66,15 @@ def test_two_streams_into_one_lake(spark, dims, tmp_path):
         path = str(tmp_path / f"in{n}")
         schema = feed_file(spark, path, [pos_b(n, 100 * n)], f"b{n}", dt.datetime(2026, 3, 11))
         chain(spark, path, schema, lake, str(tmp_path / f"ck{n}"), dims, f"stream{n}")
-    assert spark.read.parquet(lake.silver).count() == 2 and spark.read.parquet(lake.fact).count() == 2
-    assert {r.run_id for r in spark.read.parquet(lake.runs).collect()} == {"stream1_0", "stream2_0"}
+    assert S.table(spark, lake).read().count() == 2 and streams.gold.fact_table(spark, lake).read().count() == 2
+    assert {r.run_id for r in S.read_runs(spark, lake).collect()} == {"stream1_0", "stream2_0"}
 
 
 @pytest.mark.parametrize("step", ["silver", "log", "promote"])
 def test_crash_at_a_step_is_made_good(spark, dims, tmp_path, monkeypatch, step):
     path, lake, ck = str(tmp_path / "in"), S.Lake(str(tmp_path / "lake")), str(tmp_path / "ck")
     schema = feed_file(spark, path, [pos_b(1, 100), pos_b(2, 200), pos_b(2, 200), pos_b(3, -5)], "b1", dt.datetime(2026, 3, 11))
-    target = {"silver": (S, "upsert"), "log": (S, "append"), "promote": (streams.gold, "promote")}[step]
+    target = {"silver": (S.VersionedTable, "upsert"), "log": (S, "outcome_counts"), "promote": (streams.gold, "promote")}[step]
 
     def fail(*_, **__):
         raise RuntimeError("lost")
@@ -85,4 +85,5 @@ def test_crash_at_a_step_is_made_good(spark, dims, tmp_path, monkeypatch, step):
             chain(spark, path, schema, lake, ck, dims, "s")
     chain(spark, path, schema, lake, ck, dims, "s")
     count = lambda p: spark.read.parquet(p).count()
-    assert (count(lake.silver), count(lake.fact), count(lake.rejected), count(lake.audit), count(lake.runs)) == (2, 2, 1, 1, 1)
+    assert (S.table(spark, lake).read().count(), streams.gold.fact_table(spark, lake).read().count()) == (2, 2)
+    assert (count(lake.rejected), count(lake.audit), count(lake.runs)) == (1, 1, 1)
