@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry.functions.money import big
-from basketry.operators import gold, quality, silver as S
+from basketry.operators import backfill as B, gold, quality, silver as S
 from basketry.operators.adapter import adapt, adapt_all
 from basketry.registry.feeds_sql import feeds, in_two_batches, micros, one_feed, text
 from basketry.registry.query import Query
@@ -368,33 +368,55 @@ def run_log(spark, sf_dir):
         "run_id", ts("started_at"), "rows_in", "rows_loaded", "rows_rejected", "rows_deduped", "status")
 
 
-def backfill_parts(spark, sf_dir):
-    rows = canonical(spark, sf_dir)
-    product = known_product(spark, sf_dir)
-    months = spool(S.backfill(rows, product, NOW), "months")
-    store, cal = store_dim(spark, sf_dir), calendar_dim(spark)
-    return rows, months, S.backfill_gold_rows(months, lambda d: gold.promotable(d, product, store, cal))
+def backfilled(spark, sf_dir) -> tuple[B.Backfill, DataFrame]:
+    product, store, cal = known_product(spark, sf_dir), store_dim(spark, sf_dir), calendar_dim(spark)
+    done = B.backfill(canonical(spark, sf_dir), product, NOW)
+    return done, done.gold_rows(lambda d: gold.promotable(d, product, store, cal))
 
 
 def backfill(spark, sf_dir):
-    rows, months, gold_rows = backfill_parts(spark, sf_dir)
-    return S.backfill_runs(rows, months, NOW, gold_rows).select(
+    done, gold_rows = backfilled(spark, sf_dir)
+    return done.runs(gold_rows).select(
         "batch_month", *[big(c).alias(c) for c in
                          ("rows_in", "rows_loaded", "rows_rejected", "rows_deduped", "rows_promoted")], "status")
 
 
 def backfill_silver(spark, sf_dir):
-    _, months, _ = backfill_parts(spark, sf_dir)
-    return S.backfill_silver(months).select(*S.KEY, "batch_id", "quantity", "unit_price", "sku_unmatched", "late_arrival")
+    return backfilled(spark, sf_dir)[0].silver().select(*S.KEY, "batch_id", "quantity", "unit_price", "sku_unmatched", "late_arrival")
+
+
+def backfill_rejected(spark, sf_dir):
+    return backfilled(spark, sf_dir)[0].rejected().select(
+        *S.KEY, "batch_id", ts6("ingested_at"), "reject_reason", ts("rejected_at"))
+
+
+def backfill_audit(spark, sf_dir):
+    return backfilled(spark, sf_dir)[0].audit().select(
+        *S.KEY, "kept_batch_id", "dropped_batch_id", ts6("kept_ingested_at"), ts6("dropped_ingested_at"), ts("deduped_at"))
 
 
 def backfill_fact(spark, sf_dir):
-    _, _, gold_rows = backfill_parts(spark, sf_dir)
+    _, gold_rows = backfilled(spark, sf_dir)
     return gold.fact_rows(gold_rows).select(
         "transaction_id", "sku_id", "store_id", "transaction_date", "quantity",
         *[F.col(c).cast("double").alias(c) for c in ("unit_price", "total_amount", "discount_amount", "net_amount")])
 
 
+#: Every month's contest of a key: the newest row before it, the one after it, and what that drops.
+AUDIT_SQL = """contests AS (
+  SELECT source_system, source_txn_id, batch_month, o, before, CASE WHEN before IS NULL OR o > before THEN o ELSE before END AS kept
+  FROM (SELECT *, max(o) OVER (PARTITION BY source_system, source_txn_id ORDER BY batch_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM (SELECT *, struct_pack(a := ingested_at, b := batch_id, c := ingest_seq) AS o FROM month_winners))
+),
+dropped AS (
+  SELECT v.source_system, v.source_txn_id, kept, struct_pack(a := v.ingested_at, b := v.batch_id, c := v.ingest_seq) AS gone
+  FROM valid v JOIN contests c ON v.source_system = c.source_system AND v.source_txn_id = c.source_txn_id AND v.batch_month = c.batch_month
+  WHERE struct_pack(a := v.ingested_at, b := v.batch_id, c := v.ingest_seq) <> kept
+  UNION ALL
+  SELECT source_system, source_txn_id, kept, before FROM contests WHERE before IS NOT NULL AND kept = o
+)"""
+
+
 FACT_SQL = """
   SELECT source_system || '-' || source_txn_id AS transaction_id, sku AS sku_id, store_id,
          CAST(txn_timestamp AS DATE) AS transaction_date, CAST(quantity AS INTEGER) AS quantity,
@@ -528,5 +550,10 @@ def queries() -> dict[str, Query]:
     q["backfill"] = Query(backfill, feeds(f"SELECT *, 'ok' AS status FROM ({RUNS_SQL})"))
     q["backfill_silver"] = Query(backfill_silver, feeds(
         f"SELECT {key}, batch_id, CAST(quantity AS INTEGER) AS quantity, unit_price, sku_unmatched, late_arrival FROM survivors"))
+    q["backfill_rejected"] = Query(backfill_rejected, feeds(
+        f"SELECT {key}, batch_id, {ing}, reject_reason, '2001-06-30 12:00:00' AS rejected_at FROM checked WHERE reject_reason IS NOT NULL"))
+    q["backfill_audit"] = Query(backfill_audit, feeds(f"""
+      SELECT {key}, kept.b AS kept_batch_id, gone.b AS dropped_batch_id, {micros('kept.a')} AS kept_ingested_at,
+             {micros('gone.a')} AS dropped_ingested_at, '2001-06-30 12:00:00' AS deduped_at FROM dropped""", AUDIT_SQL))
     q["backfill_fact"] = Query(backfill_fact, feeds(fact_select("gold_rows")))
     return q
