@@ -122,15 +122,24 @@ def price_versions(observations: DataFrame) -> DataFrame:
 
 
 def price_as_of(fact: DataFrame, versions: DataFrame, day: str = "transaction_date") -> DataFrame:
-    """The version in force on each row's day; rows before the first version drop out.
+    """The version in force on each row's day; rows before the first version, or in a gap, drop out.
 
-    Equi-join on the SKU with the date range as a residual condition: per row only the
-    few versions of one SKU are compared.
+    Rows shrink to their distinct SKUs and days, which are merged with the versions by day and carry the last one on:
+    one pass in the order of time, whether a SKU has one version or ten thousand, over at most one row
+    per day of the calendar.  Rows then meet their day's version by equality, where a hot SKU can be split.
     """
-    v = versions.select("sku_id", F.col("list_price").alias("price_as_of"), "effective_date", "end_date")
-    in_force = (F.col(day) >= F.col("effective_date")) & (F.col("end_date").isNull() | (F.col(day) < F.col("end_date")))
-    f = fact.withColumnRenamed("sku_id", "_sku")
-    return f.join(v, (F.col("_sku") == F.col("sku_id")) & in_force).drop("_sku")
+    none = F.lit(None).cast("date")
+    asked = fact.select("sku_id", F.col(day).alias("_day")).distinct().select(
+        "sku_id", "_day", F.lit(1).alias("_asks"), F.lit(None).cast(versions.schema["list_price"].dataType).alias("price_as_of"),
+        none.alias("effective_date"), none.alias("end_date"))
+    known = versions.select(
+        "sku_id", F.col("effective_date").alias("_day"), F.lit(0).alias("_asks"), F.col("list_price").alias("price_as_of"), "effective_date", "end_date")
+    in_order = Window.partitionBy("sku_id").orderBy("_day", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.last(F.when(F.col("_asks") == 0, F.struct("price_as_of", "effective_date", "end_date")), ignorenulls=True).over(in_order)
+    found = asked.unionByName(known).withColumn("_version", carried).filter("_asks = 1 and _version is not null").select(
+        F.col("sku_id").alias("_sku"), "_day", "_version.*")
+    found = found.filter("end_date is null or _day < end_date")
+    return fact.join(found, (F.col("sku_id") == F.col("_sku")) & (F.col(day) == F.col("_day"))).drop("_sku", "_day")
 
 
 # -------------------------------------------------------------------- checks
