@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketry.llm import blocks
 
@@ -146,33 +146,6 @@ def _int_lists(lists: list[np.ndarray]) -> pa.Array:
     return blocks.list_array(pa.array(flat, pa.int32()), np.array([len(x) for x in lists], np.int64))
 
 
-def align(docs: DataFrame, text: str = "text", into: str = "alignment", keep_text: bool = True,
-          path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B) -> DataFrame:
-    """``docs`` with a struct of both sides' ids and of the cuts that group them.
-
-    ``a_cuts[g]`` and ``b_cuts[g]`` count the tokens of the first ``g + 1`` groups.  NULL and empty texts, and
-    texts that either vocabulary does not give back byte by byte, have four empty lists.  Texts of
-    any length are encoded as a whole; rows (repeats too) pass through without a shuffle; an earlier
-    column of the name ``into`` is replaced.
-    """
-    blocks.limit_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != into]
-    ready = docs.select(*[F.col(f"`{c}`") for c in kept])
-    returned = ready if keep_text else ready.drop(text)
-    schema = returned.select("*", F.lit(None).cast(ALIGNMENT).alias(into)).schema
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = load_pair(path_a, path_b)
-        for batch in blocks.slices(batches, text, 1 << 20):
-            at = batch.schema.get_field_index(text)
-            sides = list(zip(*align_texts(pair, batch.column(at).to_pylist())))
-            alignment = pa.StructArray.from_arrays([_int_lists(list(s)) for s in sides], ["a_ids", "b_ids", "a_cuts", "b_cuts"])
-            rest = [(c, f.name) for i, (c, f) in enumerate(zip(batch.columns, batch.schema)) if keep_text or i != at]
-            yield pa.RecordBatch.from_arrays([*[c for c, _ in rest], alignment], names=[*[n for _, n in rest], into])
-
-    return ready.mapInArrow(encode, schema)
-
-
 class GroupText:
     """Writes groups as ``a1,a2|b1;a3|b2,b3`` with one look-up per token."""
 
@@ -192,38 +165,50 @@ class GroupText:
         return "".join(map(self.tables.__getitem__, order.tolist()))[:-1]
 
 
-def digests(aligned: DataFrame, alignment: str = "alignment", path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B) -> DataFrame:
-    """Counts, the hash of the groups' text and the links of each alignment, in place of its struct.
+def _digest_columns(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], writer: GroupText, known: np.ndarray) -> list[pa.Array]:
+    """The columns of ``DIGEST`` for the alignments of a batch."""
+    counts, hashes, links = [], [], []
+    for a, b, a_cuts, b_cuts in sides:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        hashes.append(hashlib.sha256(writer.of(a, b, a_cuts, b_cuts).encode()).hexdigest() if len(a) else "")
+        links.append(np.searchsorted(known, a[a_cuts - 1] << 32 | b[b_cuts - 1]) if len(a) else a)
+        counts.append((len(a), len(b), len(a_cuts), len(a_cuts)))
+    numbers = np.array(counts, np.int64).reshape(-1, 4)
+    return [*[pa.array(numbers[:, i]) for i in range(4)], pa.array(hashes, pa.string()), _int_lists(links)]
 
-    A link is the number of its id pair in ``possible_links``.  Without tokens the counts are 0, the hash
-    is an empty string and the list is empty.
+
+def align(docs: DataFrame, text: str = "text", into: str = "alignment", keep_text: bool = True, digest: bool = False,
+          path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B) -> DataFrame:
+    """``docs`` with a struct of both sides' ids and of the cuts that group them.
+
+    ``a_cuts[g]`` and ``b_cuts[g]`` count the tokens of the first ``g + 1`` groups.  NULL and empty texts, and
+    texts that either vocabulary does not give back byte by byte, have four empty lists.  Texts of
+    any length are encoded as a whole; rows (repeats too) pass through without a shuffle; an earlier
+    column of the name ``into`` is replaced.
+
+    With ``digest`` the struct gives way to its digest, made in the same pass: counts of tokens, groups and links, the hash of the groups'
+    text, and ``links``, each the number of its id pair in ``possible_links``.  Without tokens the counts are 0, the
+    hash is an empty string and the list is empty.  Earlier columns of these names are replaced.
     """
-    rest = [c for c in aligned.columns if c != alignment]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.select(*[F.col(f"`{c}`") for c in rest]).schema], DIGEST])
+    blocks.limit_batches(docs.sparkSession)
+    made = [c.split()[0] for c in DIGEST.split(", ")] if digest else [into]
+    ready = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
+    returned = ready if keep_text else ready.drop(text)
+    added = T._parse_datatype_string(DIGEST if digest else f"`{into}` {ALIGNMENT}")
+    schema = T.StructType([*returned.schema.fields, *added.fields])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known = load_pair(path_a, path_b), possible_links(path_a, path_b)
-        writer = GroupText(len(pair.bytes_a), len(pair.bytes_b))
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(alignment))
-            sides = []
-            for name in ("a_ids", "b_ids", "a_cuts", "b_cuts"):
-                lists = column.field(name)
-                offsets = lists.offsets.to_numpy().astype(np.int64)
-                sides.append((lists.values.to_numpy(zero_copy_only=False).astype(np.int64), offsets))
-            counts, hashes, links = [], [], []
-            for r in range(batch.num_rows):
-                a, b, a_cuts, b_cuts = (values[offsets[r]:offsets[r + 1]] for values, offsets in sides)
-                hashes.append(hashlib.sha256(writer.of(a, b, a_cuts, b_cuts).encode()).hexdigest() if len(a) else "")
-                links.append(np.searchsorted(known, a[a_cuts - 1] << 32 | b[b_cuts - 1]) if len(a) else a)
-                counts.append((len(a), len(b), len(a_cuts), len(a_cuts)))
-            numbers = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(c)) for c in rest], *[pa.array(numbers[:, i]) for i in range(4)],
-                 pa.array(hashes, pa.string()), _int_lists(links)],
-                names=[*rest, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = load_pair(path_a, path_b)
+        writer, known = (GroupText(len(pair.bytes_a), len(pair.bytes_b)), possible_links(path_a, path_b)) if digest else (None, None)
+        for batch in blocks.slices(batches, text, 1 << 20):
+            at = batch.schema.get_field_index(text)
+            sides = align_texts(pair, batch.column(at).to_pylist())
+            rest = [(c, f.name) for i, (c, f) in enumerate(zip(batch.columns, batch.schema)) if keep_text or i != at]
+            columns = _digest_columns(sides, writer, known) if digest else [pa.StructArray.from_arrays(
+                [_int_lists(list(s)) for s in zip(*sides)], ["a_ids", "b_ids", "a_cuts", "b_cuts"])]
+            yield pa.RecordBatch.from_arrays([*[c for c, _ in rest], *columns], names=[*[n for _, n in rest], *made])
 
-    return aligned.mapInArrow(digest, schema)
+    return ready.mapInArrow(encode, schema)
 
 
 def link_counts(digested: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B) -> DataFrame:

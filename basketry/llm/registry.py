@@ -158,8 +158,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    return alignment.rate_links(spool(alignment.digests(aligned), "links")).select(
+    aligned = alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, digest=True)
+    return alignment.rate_links(spool(aligned, "links")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

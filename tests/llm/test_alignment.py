@@ -70,11 +70,18 @@ def test_query_equals_definition(spark, sf, rows):
 def test_odd_and_long_texts(spark):
     rows = [(i, t) for i, t in enumerate([*ODD, None, "", ODD[0], ODD[0]])] + [(None, "null id"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = alignment.rate_links(alignment.digests(alignment.align(docs).drop("text")))
+    got = alignment.rate_links(alignment.align(docs, digest=True))
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(expected(rows), key=repr)
 
 
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "two words", "mine", [7], 0.5), (2, None, None, None, None)],
+                                 "doc_id long, text string, groups_sha256 string, links array<int>, other double")
+    got = {r.doc_id: r for r in alignment.rate_links(alignment.align(docs, digest=True)).collect()}
+    assert got[1].other == 0.5 and got[1].text == "two words" and len(got[1].groups_sha256) == 64 and got[2].n_a == 0
+
+
 def test_groups_rebuild_the_text(spark):
     docs = spark.createDataFrame([("x", "Plain words, größer 12", 1.5)], "alignment string, text string, n_a double")
     row = alignment.align(docs, into="alignment").collect()[0]
@@ -90,7 +97,8 @@ def test_groups_rebuild_the_text(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert alignment.rate_links(alignment.digests(alignment.align(docs, keep_text=False))).collect() == []
+    assert alignment.rate_links(alignment.align(docs, keep_text=False, digest=True)).collect() == []
+    assert alignment.align(docs).collect() == []
 
 
 def test_links_are_bounded_by_the_vocabularies(spark):
