@@ -1,11 +1,14 @@
 """Declarative mapping of native feeds to the canonical contract.
 
 A spec names the native column behind each canonical one and the transform applied to
-it.  Specs are checked when compiled, before any job runs; a new source is a new spec.
+it.  Specs are JSON files, checked when loaded and against the landed columns before any job runs; a new source is a
+new file.
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,34 +30,6 @@ class Spec:
     transforms: dict[str, dict] = field(default_factory=dict)
 
 
-# How each feed maps to the contract.
-SPECS = {
-    "pos_system_a": Spec(
-        "pos_system_a",
-        {"source_txn_id": "txn_id", "txn_timestamp": "ts", "sku": "sku", "quantity": "qty",
-         "unit_price": "unit_price", "discount_amount": "disc", "store_id": "store_id"},
-        {"txn_timestamp": {"type": "datetime", "format": "M/d/yyyy H:m"},  # one or two digits
-         "unit_price": {"type": "currency_string", "strip": "$"}},
-    ),
-    "pos_system_b": Spec(
-        "pos_system_b",
-        {"source_txn_id": "transaction_ref", "txn_timestamp": "sale_dt", "sku": "item_code", "quantity": "units",
-         "unit_price": "price_cents", "discount_amount": "discount_cents", "store_id": "location"},
-        {"txn_timestamp": {"type": "datetime", "format": "yyyy-MM-dd HH:mm:ss"},
-         "unit_price": {"type": "cents"}, "discount_amount": {"type": "cents"}},
-    ),
-    "online_channel": Spec(
-        "online_channel",
-        {"source_txn_id": "order_id", "txn_timestamp": "created_at", "sku": "product_sku", "quantity": "qty_ordered",
-         "discount_amount": "discount", "store_id": "store_id"},
-        {"txn_timestamp": {"type": "datetime", "format": "yyyy-MM-dd'T'HH:mm:ss"},
-         "discount_amount": {"type": "cad_to_usd"},
-         "unit_price": {"type": "unit_price_from_total", "line_total": "line_total",
-                        "quantity": "qty_ordered", "currency": "CAD"}},
-    ),
-}
-
-
 def number(c: Column) -> Column:
     """As double; text that is no number, and NaN, give NULL."""
     n = c.try_cast("double")
@@ -95,6 +70,67 @@ TRANSFORMS = {
 }
 
 
+#: Parameters of each transform that a spec must give, and those that it may give.
+PARAMETERS = {
+    "datetime": ({"format"}, set()),
+    "currency_string": (set(), {"strip"}),
+    "cents": (set(), set()),
+    "cad_to_usd": (set(), set()),
+    "unit_price_from_total": ({"line_total", "quantity"}, {"currency"}),
+}
+#: Canonical columns that a spec must produce; landing adds the others.
+MAPPED = [c for c in CANONICAL if c not in ("source_system", "batch_id", "ingested_at")]
+
+
+def parse_spec(text: str, name: str = "spec") -> Spec:
+    """A spec from JSON (``source``, ``fields`` from canonical to native, ``transforms``); every fault is named at once."""
+    faults = []
+    try:
+        given = json.loads(text)
+    except ValueError as e:
+        raise ValueError(f"{name}: not JSON: {e}") from None
+    if not isinstance(given, dict) or not isinstance(given.get("source"), str) or not given["source"]:
+        raise ValueError(f"{name}: no source named")
+    fields, transforms = given.get("fields", {}), given.get("transforms", {})
+    if not isinstance(fields, dict) or not isinstance(transforms, dict) or not all(isinstance(t, dict) for t in transforms.values()):
+        raise ValueError(f"{name}: fields and transforms are objects by canonical column")
+    faults += [f"unknown key {k!r}" for k in given if k not in ("source", "fields", "transforms")]
+    faults += [f"unknown column {c!r}" for c in dict.fromkeys([*fields, *transforms]) if c not in MAPPED]
+    faults += [f"{c!r} needs the name of a native column" for c, native in fields.items() if not isinstance(native, str) or not native]
+    for column, t in transforms.items():
+        if t.get("type") not in TRANSFORMS:
+            faults.append(f"unknown transform {t.get('type')!r} for {column!r}")
+            continue
+        needed, allowed = PARAMETERS[t["type"]]
+        faults += [f"transform of {column!r} lacks {p!r}" for p in sorted(needed - t.keys())]
+        faults += [f"transform of {column!r} has unknown {p!r}" for p in sorted(t.keys() - needed - allowed - {"type"})]
+    made = set(fields) | {c for c, t in transforms.items() if t.get("type") == "unit_price_from_total"}
+    faults += [f"no source for {c!r}" for c in MAPPED if c not in made]
+    if faults:
+        raise ValueError(f"{name}: " + "; ".join(faults))
+    return Spec(given["source"], fields, transforms)
+
+
+def load_specs(folder: str | Path) -> dict[str, Spec]:
+    """The specs of a folder's JSON files by source."""
+    out: dict[str, Spec] = {}
+    for path in sorted(Path(folder).glob("*.json")):
+        spec = parse_spec(path.read_text(encoding="utf-8"), path.name)
+        if spec.source in out:
+            raise ValueError(f"{path.name}: a second spec for {spec.source!r}")
+        out[spec.source] = spec
+    return out
+
+
+SPECS = load_specs(Path(__file__).parent / "specs")
+
+
+def native_columns(spec: Spec) -> set[str]:
+    """Landed columns that a spec reads."""
+    from_total = [t for t in spec.transforms.values() if t["type"] == "unit_price_from_total"]
+    return set(spec.fields.values()) | {t[p] for t in from_total for p in ("line_total", "quantity")}
+
+
 def compile_spec(spec: Spec, source: str, rate: float = CAD_TO_USD) -> dict[str, Column]:
     """Canonical column -> expression over the native columns."""
     if spec.source != source:
@@ -109,7 +145,11 @@ def compile_spec(spec: Spec, source: str, rate: float = CAD_TO_USD) -> dict[str,
 
 def adapt(landed: DataFrame, source: str, spec: Spec | None = None, rate: float = CAD_TO_USD) -> DataFrame:
     """One landed feed in canonical shape."""
-    c = compile_spec(spec or SPECS[source], source, rate)
+    spec = spec or SPECS[source]
+    c = compile_spec(spec, source, rate)
+    missing = sorted(native_columns(spec) - set(landed.columns))
+    if missing:
+        raise ValueError(f"{source!r} was landed without {', '.join(missing)}")
     typed = {
         "source_txn_id": c["source_txn_id"].cast("string"),
         "txn_timestamp": c["txn_timestamp"],
@@ -123,9 +163,13 @@ def adapt(landed: DataFrame, source: str, spec: Spec | None = None, rate: float
     return landed.select(*[typed[n].alias(n) if n in typed else F.col(n) for n in CANONICAL], *kept)
 
 
-def adapt_all(landed: dict[str, DataFrame], rate: float = CAD_TO_USD) -> DataFrame:
+def adapt_all(landed: dict[str, DataFrame], rate: float = CAD_TO_USD, specs: dict[str, Spec] | None = None) -> DataFrame:
+    """Several landed feeds in canonical shape, by the specs given or the built-in ones."""
+    specs = SPECS if specs is None else specs
     out = None
     for source, df in landed.items():
-        one = adapt(df, source, rate=rate)
+        if source not in specs:
+            raise ValueError(f"no spec for {source!r}")
+        one = adapt(df, source, specs[source], rate)
         out = one if out is None else out.unionByName(one)
     return out

@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.operators import gold, silver as S
-from basketry.operators.adapter import adapt_all
+from basketry.operators.adapter import Spec, adapt_all
 from basketry.operators.silver import Lake
 from basketry.sources import bronze
 from basketry.sources.star import Star, enriched_sales
@@ -24,7 +24,7 @@ def build_dims(product_landing: DataFrame, place_landing: DataFrame, lake: Lake)
 
 
 def run_month(spark: SparkSession, lake: Lake, feeds: dict[str, DataFrame], month: dt.date, product: DataFrame, store: DataFrame,
-              calendar: DataFrame, now: dt.datetime) -> dict:
+              calendar: DataFrame, now: dt.datetime, specs: dict[str, Spec] | None = None) -> dict:
     """Land each native feed of the month, adapt, clean and promote; the run's counts.
 
     A feed is landed under ``<source>_<yyyymm>`` and read back from its own folder, so what is
@@ -36,7 +36,7 @@ def run_month(spark: SparkSession, lake: Lake, feeds: dict[str, DataFrame], mont
         batch = f"{source}_{month:%Y%m}"
         landed[source] = bronze.land_once(rows, lake.path("bronze", source), source, f"{batch}.csv", batch, now)
     run_id = f"run_{month:%Y%m}"
-    run, loaded = S.take_batch(spark, lake, adapt_all(landed), product, month, run_id, now)
+    run, loaded = S.take_batch(spark, lake, adapt_all(landed, specs=specs), product, month, run_id, now)
     return {**run, "rows_promoted": gold.promote(spark, lake, loaded, product, store, calendar, tag=run_id)}
 
 

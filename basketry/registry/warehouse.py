@@ -314,9 +314,8 @@ def queries() -> dict[str, Query]:
              36 AS history_months, lines
       FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, {count} AS lines FROM lineitem GROUP BY 1)""")
     q["cal_fiscal_quarter"] = Query(cal_fiscal_quarter, f"""
-      SELECT CAST(month(o_orderdate) AS INTEGER) AS month, CASE WHEN month(o_orderdate) IN (1, 2, 3) THEN 1
-        WHEN month(o_orderdate) IN (4, 5, 6) THEN 2 WHEN month(o_orderdate) IN (7, 8, 9) THEN 3 ELSE 4 END AS fiscal_quarter,
-        {count} AS orders FROM orders GROUP BY ALL""")
+      SELECT CAST(month(o_orderdate) AS INTEGER) AS month, CAST((month(o_orderdate) + 2) // 3 AS INTEGER) AS fiscal_quarter,
+             {count} AS orders FROM orders GROUP BY ALL""")
     in_data = "date BETWEEN (SELECT CAST(date_trunc('month', MIN(l_shipdate)) AS DATE) FROM lineitem) AND (SELECT last_day(MAX(l_shipdate)) FROM lineitem)"
     inserts = lambda name, where: (
         f"SELECT '{name}' AS dimension, {sql_big('COUNT(*) FILTER (year(date) < 1999)')} AS first_insert, "

@@ -78,3 +78,48 @@ def test_malformed_fields_become_null(spark, tmp_path):
     (tmp_path / "a.csv").write_text("txn_id,ts,sku,qty,unit_price,disc,store_id\nA,03/10/2026 10:00,S,many,$1,0.5,X\n")
     r = read_feed(spark, "pos_system_a", str(tmp_path / "a.csv")).first()
     assert r.qty is None and r.txn_id == "A" and r.disc == 0.5
+
+
+FOURTH = {"source": "kiosk", "fields": {"source_txn_id": "no", "txn_timestamp": "at", "sku": "item", "quantity": "n", "unit_price": "each",
+                                        "discount_amount": "off", "store_id": "shop"},
+          "transforms": {"txn_timestamp": {"type": "datetime", "format": "yyyyMMdd HHmm"}, "unit_price": {"type": "currency_string", "strip": "EUR"}}}
+
+
+def test_a_fourth_feed_is_a_file(spark, lake, dims, tmp_path):
+    import json
+
+    from conftest import MONTH, NOW
+
+    from basketry.operators.adapter import adapt_all, load_specs
+    from basketry.plans import months
+
+    (tmp_path / "kiosk.json").write_text(json.dumps(FOURTH))
+    specs = load_specs(tmp_path)
+    feed = spark.createDataFrame([("1", "20260310 1405", "SKU-A", 2, "EUR 1,250.50", None, "STORE-PHYS"), ("2", "x", "SKU-A", 1, "1", 0.0, "STORE-PHYS")],
+                                 "no string, at string, item string, n int, each string, off double, shop string")
+    run = months.run_month(spark, lake, {"kiosk": feed}, MONTH, *dims, NOW, specs)
+    assert (run["rows_in"], run["rows_loaded"], run["rows_rejected"], run["rows_promoted"]) == (2, 1, 1, 1)
+    with pytest.raises(ValueError, match="landed without each, off"):
+        adapt_all({"kiosk": feed.drop("each", "off")}, specs=specs)
+    with pytest.raises(ValueError, match="no spec"):
+        adapt_all({"kiosk": feed})
+
+
+@pytest.mark.parametrize("change, fault", [
+    ("{", "not JSON"), ("[]", "no source"), ({"source": ""}, "no source"), ({"fields": []}, "objects"), ({"transforms": {"sku": 1}}, "objects"),
+    ({"extra": 1}, "unknown key 'extra'"), ({"fields": {"colour": "c"}}, "unknown column 'colour'.*no source for 'sku'"),
+    ({"fields": {**FOURTH["fields"], "sku": 3}}, "'sku' needs the name"), ({"transforms": {"sku": {"type": "magic"}}}, "unknown transform 'magic'"),
+    ({"transforms": {"txn_timestamp": {"type": "datetime"}}}, "lacks 'format'"), ({"transforms": {"unit_price": {"type": "cents", "by": 2}}}, "unknown 'by'")])
+def test_faults_of_a_spec_are_named_when_it_is_loaded(change, fault):
+    import json
+
+    from basketry.operators.adapter import parse_spec
+
+    with pytest.raises(ValueError, match=fault):
+        parse_spec(change if isinstance(change, str) else json.dumps({**FOURTH, **change}))
+
+
+def test_built_in_specs():
+    from basketry.operators.adapter import SPECS
+
+    assert set(SPECS) == {"pos_system_a", "pos_system_b", "online_channel"}
