@@ -18,7 +18,9 @@ CANONICAL = [
     "discount_amount", "store_id", "batch_id", "ingested_at",
 ]
 # Columns that travel beside the contract when the landed frame has them.
-CARRIED = ["ingest_seq", "batch_month"]
+#: Of a record that did not fit its feed's schema: its file and its text.
+RAW = ["raw_file", "raw_line"]
+CARRIED = ["ingest_seq", "batch_month", *RAW]
 
 CAD_TO_USD = 0.73
 
@@ -171,5 +173,5 @@ def adapt_all(landed: dict[str, DataFrame], rate: float = CAD_TO_USD, specs: dic
         if source not in specs:
             raise ValueError(f"no spec for {source!r}")
         one = adapt(df, source, specs[source], rate)
-        out = one if out is None else out.unionByName(one)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out

@@ -90,7 +90,7 @@ def write_backfill(spark: SparkSession, lake: Lake, done: Backfill, product: Dat
     runs = done.runs(gold_rows).select(
         run_id.alias("run_id"), F.col("batch_month").alias("target_month"), F.lit(done.now).alias("started_at"),
         F.current_timestamp().alias("completed_at"), "rows_in", "rows_loaded", "rows_rejected", "rows_deduped", "status")
-    for rows, path, columns in ((done.rejected(), lake.rejected, S.REJECTED_COLUMNS), (done.audit(), lake.audit, S.AUDIT_COLUMNS)):
+    for rows, path, columns in ((done.rejected(), lake.rejected, S.QUARANTINE_COLUMNS), (done.audit(), lake.audit, S.AUDIT_COLUMNS)):
         (rows.select(*columns, run_id.alias("run_id")).hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(path))
     runs.hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(lake.runs)
     S.table(spark, lake).upsert(done.silver(), "backfill")

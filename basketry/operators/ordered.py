@@ -8,6 +8,8 @@ result, so approximate edges still give exact totals.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -101,6 +103,34 @@ def exact_medians(df: DataFrame, by: list[str], measures: dict[str, Column], buc
     ])
 
 
+def ranked_values(df: DataFrame, value: Column, buckets: int | None = None) -> DataFrame:
+    """Distinct non-NULL values with their count ``n``, ``n_upto`` (inclusive) and ``n_all``, written down."""
+    counts = df.select(value.cast("double").alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    return spool(running_totals(counts, "value", ["n"], buckets=buckets), "ranked")
+
+
+def quantiles(ranked: DataFrame, shares: list[float]) -> tuple[int, dict[float, float]]:
+    """How many rows, and the exact quantile of every share, interpolated between neighbours.
+
+    Every position is picked from the running totals by one aggregate, whatever the number of
+    shares; no task holds more than the buckets of ``running_totals`` give it.
+    """
+    last = F.col("n_all") - 1
+    picks = []
+    for i, share in enumerate(shares):
+        place = last * F.lit(float(share))  # counted from 0
+        for name, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            here = (at >= F.col("n_upto") - F.col("n")) & (at < F.col("n_upto"))
+            picks.append(F.max(F.when(here, F.col("value"))).alias(f"{name}{i}"))
+    got = ranked.agg(F.max("n_all").alias("n"), *picks).first()
+    n, out = got["n"] or 0, {}
+    for i, share in enumerate(shares if n else []):
+        place, low, high = (n - 1) * float(share), got[f"low{i}"], got[f"high{i}"]
+        below, above = math.floor(place), math.ceil(place)
+        out[share] = low if below == above or low == high else (above - place) * low + (place - below) * high
+    return n, out
+
+
 def modes(df: DataFrame, by: list[str], value: Column, name: str, weight: Column | None = None) -> DataFrame:
     """Most frequent value per group; ties go to the smallest value."""
     weight = F.lit(1) if weight is None else weight

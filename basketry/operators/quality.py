@@ -21,10 +21,13 @@ def _value_checks(now: dt.datetime) -> dict[str, tuple[str, Column]]:
     }
 
 
-def _failures(now: dt.datetime) -> list[tuple[str, Column]]:
-    """(``column:check``, condition that is true for a bad row), in contract order."""
+def _failures(now: dt.datetime, df: DataFrame | None = None) -> list[tuple[str, Column]]:
+    """(``column:check``, condition that is true for a bad row), in contract order.
+
+    A record that did not fit its feed's schema, where ``df`` tells, fails ``record:corrupt`` first.
+    """
     checks = _value_checks(now)
-    found = []
+    found = [("record:corrupt", F.col("raw_line").isNotNull())] if df is not None and "raw_line" in df.columns else []
     for name in CANONICAL:
         if name not in NULLABLE:
             found.append((f"{name}:not_nullable", F.col(name).isNull()))
@@ -34,30 +37,30 @@ def _failures(now: dt.datetime) -> list[tuple[str, Column]]:
     return found
 
 
-def reject_reason(now: dt.datetime) -> Column:
+def reject_reason(now: dt.datetime, df: DataFrame | None = None) -> Column:
     """Every failed rule of the row, ``; `` between them; NULL for a valid row."""
-    texts = [F.when(fails, F.lit(rule)) for rule, fails in _failures(now)]
+    texts = [F.when(fails, F.lit(rule)) for rule, fails in _failures(now, df)]
     return F.nullif(F.concat_ws("; ", *texts), F.lit(""))
 
 
-def is_rejected(now: dt.datetime) -> Column:
+def is_rejected(now: dt.datetime, df: DataFrame | None = None) -> Column:
     bad = F.lit(False)
-    for _, fails in _failures(now):
+    for _, fails in _failures(now, df):
         bad = bad | F.coalesce(fails, F.lit(False))
     return bad
 
 
 def check(df: DataFrame, now: dt.datetime) -> DataFrame:
-    return df.withColumn("reject_reason", reject_reason(now))
+    return df.withColumn("reject_reason", reject_reason(now, df))
 
 
 def valid(df: DataFrame, now: dt.datetime) -> DataFrame:
-    return df.filter(~is_rejected(now))
+    return df.filter(~is_rejected(now, df))
 
 
 def rejected(df: DataFrame, now: dt.datetime) -> DataFrame:
     """Bad rows with their reason, which is only put together for them."""
-    return check(df.filter(is_rejected(now)), now)
+    return check(df.filter(is_rejected(now, df)), now)
 
 
 def split(df: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +69,7 @@ def split(df: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
 
 def failed_rules(df: DataFrame, now: dt.datetime) -> DataFrame:
     """How many rows fail each rule, in one pass and one output row per failed rule."""
-    rules = _failures(now)
+    rules = _failures(now, df)
     counts = df.agg(*[F.count_if(fails).alias(rule) for rule, fails in rules])
     pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("rows")) for rule, _ in rules])
     return counts.select(F.inline(pairs)).filter("rows > 0")

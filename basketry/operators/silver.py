@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from basketry.functions.dates import month_start
 from basketry.operators import quality
-from basketry.operators.adapter import CANONICAL
+from basketry.operators.adapter import CANONICAL, RAW
 from basketry.operators.latest import latest_per_key
 from basketry.session import spool
 from basketry.sources.sinks import replace_run
@@ -43,6 +43,7 @@ SILVER_SCHEMA = T.StructType([
     T.StructField(PARTITION, T.StringType()),
 ])
 REJECTED_COLUMNS = [*CANONICAL, "reject_reason", "rejected_at"]
+QUARANTINE_COLUMNS = [*REJECTED_COLUMNS, *RAW]
 AUDIT_COLUMNS = [*KEY, "kept_batch_id", "dropped_batch_id", "kept_ingested_at", "dropped_ingested_at", "deduped_at"]
 RUN_SCHEMA = (
     "run_id string, target_month date, started_at timestamp, completed_at timestamp, "
@@ -161,6 +162,7 @@ def prepare(adapted: DataFrame, product: DataFrame, month: dt.date | None, now:
     """
     if "ingest_seq" not in adapted.columns:
         adapted = adapted.withColumn("ingest_seq", F.monotonically_increasing_id())
+    adapted = adapted.withColumns({c: F.lit(None).cast("string") for c in RAW if c not in adapted.columns})
     # A catch-up load holds many months; its rows say which one they belong to.
     batch_month = F.col("batch_month") if month is None else F.lit(month.replace(day=1))
     flagged = quality.flag_late(quality.flag_sku_unmatched(quality.check(adapted, now), product), batch_month)
@@ -193,7 +195,7 @@ def take_batch(spark: SparkSession, lake: Lake, adapted: DataFrame, product: Dat
     silver = clean.holding(prepared.select(*KEY), base)
     rows = spool(classify(prepared, silver), "outcomes")
 
-    replace_run(rows.filter("outcome = 'rejected'").withColumn("rejected_at", F.lit(now)), lake.rejected, REJECTED_COLUMNS, run_id)
+    replace_run(rows.filter("outcome = 'rejected'").withColumn("rejected_at", F.lit(now)), lake.rejected, QUARANTINE_COLUMNS, run_id)
     contest = rows.filter("outcome <> 'rejected'")
     replace_run(audit_rows(contest, now), lake.audit, AUDIT_COLUMNS, run_id)
     # A stored row that keeps its place needs no rewrite.

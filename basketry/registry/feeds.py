@@ -14,7 +14,7 @@ from basketry.registry.query import Query
 from basketry.registry.star_sql import big as sql_big, dbl as sql_dbl, star
 from basketry.session import configure, scratch_root, spool
 from basketry.sources import bronze, sinks
-from basketry.sources.feeds import SOURCES, landed_feed, native_feed, read_feed
+from basketry.sources.feeds import SOURCES, landed_feed, native_feed, read_feed, read_feed_checked
 from basketry.sources.star import calendar_dim, load_star, product_dim, store_dim, table
 
 NOW = dt.datetime(2001, 6, 30, 12, 0)
@@ -68,6 +68,36 @@ def src_files(spark, sf_dir):
     return out
 
 
+#: Orders whose lines are broken in the files of ``src_corrupt``.
+BROKEN = 7
+
+
+def src_corrupt(spark, sf_dir):
+    """CSV and JSON files with broken records, read, cleaned and counted; what was broken is in quarantine."""
+    configure(spark)
+    landed = {}
+    for source, fmt in (("pos_system_b", "csv"), ("online_channel", "json")):
+        rows = native_feed(spark, sf_dir, source)
+        broken = F.split(F.col(rows.columns[0]), "-")[0].cast("long") % BROKEN == 0
+        path = fresh(spark, f"broken-{source}")
+        if fmt == "csv":  # a word where a number belongs
+            units = F.when(broken, F.lit("many")).otherwise(F.col("units").cast("string"))
+            rows.withColumn("units", units).write.option("header", True).csv(path)
+        else:  # the end of the line is cut off
+            line = F.to_json(F.struct(*rows.columns))
+            rows.select(F.when(broken, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+        landed[source] = read_feed_checked(spark, source, path, fmt).withColumns({
+            "source_system": F.lit(source), "batch_id": F.lit("b"), "ingested_at": F.lit(LANDED_AT),
+            "batch_month": F.lit(LANDED_AT.date().replace(day=1))})
+    lake = S.Lake(fresh(spark, "broken-lake"))
+    run, _ = S.take_batch(spark, lake, adapt_all(landed), known_product(spark, sf_dir), None, "r", NOW)
+    corrupt = F.col("reject_reason").startswith("record:corrupt")
+    whole = F.col("raw_line").isNotNull() & F.col("raw_file").contains("broken-")
+    return spark.read.parquet(lake.rejected).groupBy("source_system").agg(
+        big(F.count("*")).alias("rejected"), big(F.count_if(corrupt)).alias("corrupt"), big(F.count_if(whole)).alias("with_line"),
+        big(F.lit(run["rows_in"])).alias("rows_in"), big(F.lit(run["rows_rejected"])).alias("rows_rejected"))
+
+
 def src_star(spark, sf_dir):
     star_tables = load_star(spark, sf_dir)
     return gold.dim_counts({
@@ -450,6 +480,13 @@ def queries() -> dict[str, Query]:
     q["src_files"] = Query(src_files, feeds(f"""
       SELECT source_system, {count} AS rows, {sql_big('SUM(quantity)')} AS quantity, {sql_big('COUNT(txn_timestamp)')} AS dated,
              {sql_big('COUNT(unit_price)')} AS priced, {sql_big('COUNT(store_id)')} AS placed FROM canonical GROUP BY 1"""))
+    both = "source_system IN ('pos_system_b', 'online_channel')"
+    broken = f"CAST(split_part(source_txn_id, '-', 1) AS BIGINT) % {BROKEN} = 0"
+    q["src_corrupt"] = Query(src_corrupt, feeds(f"""
+      , judged AS (SELECT *, {broken} AS corrupt, {broken} OR reject_reason IS NOT NULL AS bad FROM checked WHERE {both})
+      SELECT source_system, {sql_big('COUNT(*) FILTER (WHERE bad)')} AS rejected, {sql_big('COUNT(*) FILTER (WHERE corrupt)')} AS corrupt,
+             {sql_big('COUNT(*) FILTER (WHERE corrupt)')} AS with_line, {sql_big('(SELECT COUNT(*) FROM judged)')} AS rows_in,
+             {sql_big('(SELECT COUNT(*) FROM judged WHERE bad)')} AS rows_rejected FROM judged GROUP BY source_system"""))
     names = ("product_master", "regional_reference", "store_reference", "seasonal_calendar", "weather_overlay", "sales_transactions")
     q["src_star"] = Query(src_star, star(" UNION ALL ".join(
         f"SELECT '{n}' AS dimension, {count} AS rows FROM {n}" for n in names)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from basketry.functions.money import cents
 from basketry.functions.text import row_hash
-from basketry.session import path_exists
+from basketry.session import path_exists, spool
 from basketry.sources.star import read_parquet, sale_amounts, session_folder, table
 
 _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
@@ -35,7 +35,10 @@ _RESIDUE = {"online_channel": 0, "pos_system_a": 1, "pos_system_b": 2}
 
 
 def read_feed(spark: SparkSession, source: str, path: str, fmt: str = "csv") -> DataFrame:
-    """Read landed files of a feed with its declared schema; bad fields become NULL."""
+    """Read landed files of a feed with its declared schema; bad fields become NULL.
+
+    ``read_feed_checked`` tells records with bad fields from those that lack a value.
+    """
     reader = spark.read.schema(FEED_SCHEMAS[source])
     if fmt == "csv":
         return reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
@@ -46,6 +49,26 @@ def read_feed(spark: SparkSession, source: str, path: str, fmt: str = "csv") ->
     raise ValueError(f"unknown feed format: {fmt}")
 
 
+def read_feed_checked(spark: SparkSession, source: str, path: str, fmt: str = "csv") -> DataFrame:
+    """``read_feed`` with ``raw_file`` and ``raw_line`` of the records that do not fit the schema.
+
+    A record is corrupt when a field cannot be read as its type, when a CSV line has too few or too many fields, or when a
+    JSON line cannot be read; the fields that could be read keep their values.  Both columns are NULL
+    in sound records, and in all of Parquet, whose files are typed.  The rows are written down once: which
+    fields a CSV reader looks at depends on the columns asked for, and so would its verdict.
+    """
+    raw_file = F.when(F.col("raw_line").isNotNull(), F.col("_metadata.file_path")).alias("raw_file")
+    if fmt == "parquet":
+        rows = read_feed(spark, source, path, fmt).withColumn("raw_line", F.lit(None).cast("string"))
+        return rows.select(*FEED_SCHEMAS[source].names, F.lit(None).cast("string").alias("raw_file"), "raw_line")
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"unknown feed format: {fmt}")
+    schema = T.StructType([*FEED_SCHEMAS[source], T.StructField("raw_line", _S, True)])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw_line")
+    rows = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
+    return spool(rows.select(*FEED_SCHEMAS[source].names, raw_file, "raw_line"), f"checked-{source}")
+
+
 def _hit(modulus: int) -> Column:
     return F.col("l_orderkey") % modulus == 0
 

@@ -123,3 +123,35 @@ def test_built_in_specs():
     from basketry.operators.adapter import SPECS
 
     assert set(SPECS) == {"pos_system_a", "pos_system_b", "online_channel"}
+
+
+def test_corrupt_records_keep_file_and_line(spark, tmp_path):
+    from basketry.sources.feeds import read_feed_checked
+
+    csv = tmp_path / "b.csv"
+    csv.write_text("transaction_ref,sale_dt,item_code,units,price_cents,discount_cents,location\n"
+                   "T1,2026-03-01 10:00:00,A,2,100,0,S\nT2,2026-03-01 10:00:00,A,many,100,0,S\nT3,short\nT4,2026-03-01 10:00:00,A,,100,0,S\n")
+    rows = {r.transaction_ref: r for r in read_feed_checked(spark, "pos_system_b", str(csv), "csv").collect()}
+    assert rows["T1"].raw_line is rows["T1"].raw_file is rows["T4"].raw_line is None and rows["T4"].units is None
+    assert rows["T2"].raw_line == "T2,2026-03-01 10:00:00,A,many,100,0,S" and rows["T2"].raw_file.endswith("b.csv")
+    assert rows["T2"].price_cents == 100 and rows["T3"].raw_line == "T3,short"
+
+    json_file = tmp_path / "o.json"
+    json_file.write_text('{"order_id":"O1","qty_ordered":1}\n{"order_id":"O2","qty_ord\n{"order_id":"O3","qty_ordered":"x"}\nno json\n')
+    got = read_feed_checked(spark, "online_channel", str(json_file), "json").collect()
+    assert sorted(r.raw_line for r in got if r.raw_line) == ['no json', '{"order_id":"O2","qty_ord', '{"order_id":"O3","qty_ordered":"x"}']
+    with pytest.raises(ValueError, match="unknown feed format"):
+        read_feed_checked(spark, "online_channel", "x", "xml")
+
+
+def test_corrupt_records_are_quarantined_beside_sound_feeds(spark, dims, lake, canonical):
+    from conftest import MONTH, NOW
+
+    from basketry.operators import silver as S
+
+    sound = canonical([{}, {"source_txn_id": "B", "quantity": -1.0}])
+    broken = canonical([{"source_txn_id": "C"}]).withColumns({"raw_file": F.lit("f.csv"), "raw_line": F.lit("C,?")})
+    run = S.process_batch(spark, lake, sound.unionByName(broken, allowMissingColumns=True), dims[0], MONTH, "r", NOW)
+    assert (run["rows_in"], run["rows_loaded"], run["rows_rejected"], run["status"]) == (3, 1, 2, "ok")
+    kept = {r.source_txn_id: (r.reject_reason, r.raw_file, r.raw_line) for r in spark.read.parquet(lake.rejected).collect()}
+    assert kept == {"B": ("quantity:quantity_not_positive", None, None), "C": ("record:corrupt", "f.csv", "C,?")}

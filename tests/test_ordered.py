@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators.ordered import exact_medians, modes, running_totals
+from basketry.operators.ordered import exact_medians, modes, quantiles, ranked_values, running_totals
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -55,3 +55,21 @@ def test_mode_ties_go_to_the_smallest(spark):
         counts = Counter(v for h, v in rows if h == g and v)
         assert got[g] == min(counts, key=lambda v: (-counts[v], v))
     assert got["t"] == "a"
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_quantiles_in_one_pass_are_those_of_percentile(spark, buckets):
+    rng = random.Random(9)
+    for size in (1, 2, 7, 400):
+        values = [round(rng.gauss(0, 5), 1) for _ in range(size)]
+        values += [3.0] * (size // 3)  # a hot value
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, "v double")
+        shares = [0.0, 0.1, 1 / 3, 0.5, 2 / 3, 0.9, 1.0]
+        n, got = quantiles(ranked_values(df, F.col("v"), buckets), shares)
+        want = df.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
+        assert n == len(values) and [got[s] for s in shares] == pytest.approx(want, abs=1e-9)
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert quantiles(ranked_values(empty, F.col("v")), [0.5]) == (0, {})

@@ -1,5 +1,6 @@
 """Streams reach the batch result, in several micro-batches and after a restart."""
 import datetime as dt
+import random
 
 import pytest
 from conftest import NOW
@@ -87,3 +88,51 @@ def test_crash_at_a_step_is_made_good(spark, dims, tmp_path, monkeypatch, step):
     count = lambda p: spark.read.parquet(p).count()
     assert (S.table(spark, lake).read().count(), streams.gold.fact_table(spark, lake).read().count()) == (2, 2)
     assert (count(lake.rejected), count(lake.audit), count(lake.runs)) == (1, 1, 1)
+
+
+LATEST = "k string, at timestamp, batch string, seq bigint, v double, part int"
+
+
+def latest_case(spark, tmp_path, rows_by_file, delay):
+    path = str(tmp_path / "in")
+    target = S.VersionedTable(spark, str(tmp_path / "out"), spark.createDataFrame([], LATEST).schema, ["k"], "part")
+    for n, rows in enumerate(rows_by_file):
+        spark.createDataFrame(rows, LATEST).coalesce(1).write.mode("append").parquet(path)
+        stream = streams.file_stream(spark, path, target.schema, max_files=1)
+        streams.keep_latest(stream, target, ["at", "batch", "seq"], str(tmp_path / "ck"), "s", delay)
+    return target
+
+
+def test_latest_wins_equals_the_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(5)
+    at = lambda n: dt.datetime(2026, 3, 1) + dt.timedelta(microseconds=n)
+    rows = [(k, at(rng.randrange(40)), rng.choice(["a", "b", None]), 1 - (1 << 62) + i, rng.choice([None, float(i)]), 0)
+            for i in range(200) for k in [rng.choice(["hot", "hot", "x", "y y", "", None, "\u00e9"])]]
+    files = [rows[i::4] for i in range(4)]
+    got = latest_case(spark, tmp_path, files, "1 day").read().collect()
+    none_first = lambda r: (r[1], r[2] is not None, r[2] or "", r[3])
+    want = {}
+    for r in rows:
+        if r[0] not in want or none_first(r) > none_first(want[r[0]]):
+            want[r[0]] = r
+    assert {r.k: tuple(r) for r in got if r.k is not None} == {k: r for k, r in want.items() if k is not None}
+
+
+def test_latest_wins_sends_corrections_and_forgets(spark, tmp_path):
+    at = lambda h: dt.datetime(2026, 3, 1) + dt.timedelta(hours=h)
+    path, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    schema = spark.createDataFrame([], LATEST).schema
+    files = [[("a", at(1), "x", 1, 1.0, 0)], [("a", at(2), "x", 1, 2.0, 0), ("a", at(0), "x", 9, 9.0, 0)], [("a", at(1), "x", 1, 1.0, 0)],
+             [("z", at(99), "x", 1, 5.0, 0)], [("a", at(3), "x", 1, 3.0, 0)], [("a", at(98.5), "x", 1, 4.0, 0)]]
+    for rows in files:  # the fifth comes later than the delay allows
+        spark.createDataFrame(rows, LATEST).coalesce(1).write.mode("append").parquet(path)
+        stream = streams.latest_wins(streams.file_stream(spark, path, schema, max_files=1), ["k"], ["at", "batch", "seq"], "2 hours")
+        streams.write_stream(stream, out, ck)
+    got = sorted((r.k, r.v, r.is_correction) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1.0, False), ("a", 2.0, True), ("a", 4.0, False), ("z", 5.0, False)]
+
+
+def test_a_stream_is_not_ordered_by_a_double(spark, tmp_path):
+    with pytest.raises(TypeError, match="cannot order"):
+        spark.createDataFrame([("a", dt.datetime(2026, 3, 1), "x", 1, 1.0, 0)], LATEST).write.parquet(str(tmp_path / "in"))
+        streams.latest_wins(streams.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], LATEST).schema), ["k"], ["at", "v"])
