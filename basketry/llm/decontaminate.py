@@ -201,22 +201,48 @@ def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
+#: Pairs of documents and items that are put together at a time.
+PAIRS = 1 << 20
+
+
+def _with_items(known: np.ndarray, in_docs: np.ndarray, n_docs: int, of_items: np.ndarray, n_items: int) -> np.ndarray:
+    """``known`` (document, item) pairs and those that share a window, each once and in order.
+
+    ``in_docs`` holds (window, document) and ``of_items`` (window, item), sorted.  The pairs of many windows are made in pieces, so
+    memory follows the distinct pairs and not how often each is found.
+    """
+    window = in_docs // n_docs
+    low, high = np.searchsorted(of_items, window * n_items), np.searchsorted(of_items, (window + 1) * n_items)
+    upto, at = np.cumsum(high - low), 0
+    while at < len(in_docs):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        place, which = _expand(low[at:stop], high[at:stop])
+        known = np.union1d(known, in_docs[at:stop][which] % n_docs * n_items + of_items[place] % n_items)
+        at = stop
+    return known
+
+
 def _hits(found: blocks.Words, items: Items, window: int):
     """Per document of the batch: spans of hit words and ids of the items that occur."""
     start, length, item = _windows(items, window)
     cover = np.zeros(len(found.hashes) + 1, np.int64)
     doc_of = found.doc
-    pairs = []
+    n_docs, n_items = len(found.first) - 1, len(items.ids)
+    pairs = np.zeros(0, np.int64)
     for base, sa in _shards(found, window):
         for depth, live, low, high in sa.search(items.words, start, length):
             done = length[live] == depth
             if not done.any():
                 continue
-            at, which = _expand(low[done], high[done])
+            # Windows of the same words have the same places, which are looked at once for all of their items.
+            distinct, one, number = np.unique(low[done], return_index=True, return_inverse=True)
+            at, which = _expand(distinct, high[done][one])
             word = base + sa.word[sa.sa[at]]
             np.add.at(cover, word, 1)
             np.add.at(cover, word + depth, -1)
-            pairs.append(np.unique(doc_of[word] * len(items.ids) + item[live[done]][which]))
+            in_docs = np.unique(which * n_docs + doc_of[word])
+            of_items = np.unique(number * n_items + item[live[done]])
+            pairs = _with_items(pairs, in_docs, n_docs, of_items, n_items)
     hit = np.cumsum(cover[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     spans: dict[int, list[list[int]]] = {}
@@ -227,8 +253,10 @@ def _hits(found: blocks.Words, items: Items, window: int):
             if a < b:
                 spans.setdefault(d, []).append([int(a - base), int(b - base)])
     ids: dict[int, list[str]] = {}
-    for p in np.unique(np.concatenate(pairs)) if pairs else ():
-        ids.setdefault(int(p) // len(items.ids), []).append(items.ids[int(p) % len(items.ids)])
+    if len(pairs):
+        docs, starts = np.unique(pairs // n_items, return_index=True)
+        for d, some in zip(docs, np.split(pairs % n_items, starts[1:])):
+            ids[int(d)] = [items.ids[i] for i in some]
     return spans, ids
 
 

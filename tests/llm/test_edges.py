@@ -1,5 +1,6 @@
 """Empty tables, NULL columns, repeated rows and clashing names for every operator and stage."""
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -199,3 +200,43 @@ def test_pipeline_decisions(spark, sf, rows):
     assert len({95, 96, 97, 98, 99, 100, 101, 102} & set(out)) <= 1
     assert all("AbCdEf123456GhIjKl789" not in r.text for r in out.values())  # one owner's, looks live
     assert all(r.taken > 0 for r in out.values())
+
+
+def _template_case(n_items, n_docs):
+    template = " ".join(f"t{i}" for i in range(13))
+    items = [{"item_id": f"i{n}", "text": f"{template} question {n} of {n % 3}"} for n in range(n_items)]
+    docs = [{"doc_id": d, "text": f" filler {d} ".join([template] * 5) + (f" question {d} of {d % 3}" if d % 2 else "")} for d in range(n_docs)]
+    return docs, items
+
+
+def test_items_of_one_template_equal_brute_force(table):
+    docs, items = _template_case(30, 20)
+    docs += [{"doc_id": 90, "text": "nothing here"}, {"doc_id": 91, "text": None}, {"doc_id": 92, "text": ""}]
+    frame = table([]).sparkSession.createDataFrame([(i["item_id"], i["text"]) for i in items], "item_id string, text string")
+    want = [(d, n, hit, k) for d, n, hit, k, _, _ in brute.decontaminate(docs, items)]
+    found = decontaminate.find_overlaps(table(docs), frame).select("doc_id", "overlap").collect()
+    assert sorted((r.doc_id, r.overlap.n_words, sum(b - a for a, b in r.overlap.spans), len(r.overlap["items"])) for r in found) == sorted(want)
+
+
+def test_pairs_put_together_in_pieces_are_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    in_docs = np.unique(rng.integers(0, 6, 60) * 9 + rng.integers(0, 9, 60))
+    of_items = np.unique(rng.integers(0, 6, 40) * 7 + rng.integers(0, 7, 40))
+    want = sorted({int(d % 9 * 7 + i % 7) for d in in_docs for i in of_items if d // 9 == i // 7} | {1})
+    for piece in (1, 5, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PAIRS", piece)
+        assert decontaminate._with_items(np.array([1]), in_docs, 9, of_items, 7).tolist() == want
+
+
+def test_many_items_of_one_template_need_little_memory():
+    docs, items = _template_case(4000, 256)
+    batch = pa.RecordBatch.from_arrays([pa.array([d["text"] for d in docs])], names=["text"])
+    words = [decontaminate._words(pa.RecordBatch.from_arrays([pa.array([i["text"]])], names=["text"]), "text").hashes for i in items]
+    block = decontaminate.Items([i["item_id"] for i in items], np.concatenate(words), np.cumsum([0, *map(len, words)]))
+    found = decontaminate._words(batch, "text")
+    tracemalloc.start()
+    spans, ids = decontaminate._hits(found, block, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 256 and all(len(v) == 4000 for v in ids.values())
+    assert peak < 160 << 20  # it was 811 MB before equal windows were merged, 75 MB after
