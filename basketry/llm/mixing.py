@@ -56,10 +56,14 @@ def mix(
 
     Empty and NULL texts have size 0.  NULL sources are one source, sorted last.  Rows alike in
     id and source keep an order by their text; equal rows may swap, which shows nowhere.
-    Columns of ``docs`` that carry one of the new names are replaced.
+    Columns of ``docs`` that carry one of the new names are replaced; all others pass, whatever their names.
     """
     added = ("size", "source_size", "target", "taken")
     docs = docs.drop(*[c for c in docs.columns if c in added])
+    # Columns go by their place meanwhile, so that none can clash with a working column.
+    names, places = docs.columns, [f"u{i}" for i in range(len(docs.columns))]
+    docs, place_of = docs.toDF(*places), {c.lower(): p for c, p in zip(names, places)}
+    text, source, doc_id = (place_of[c.lower()] for c in (text, source, doc_id))
     keyed = docs.select(
         "*",
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -85,7 +89,7 @@ def mix(
     joined = placed.join(plan, ["_source", "_bucket"])
     part = F.greatest(F.least(F.col("_rest") - F.col("_offset") - F.col("_before"), F.col("size")), F.lit(0))
     return joined.select(
-        *docs.columns, "size", "source_size", "target",
+        *[F.col(p).alias(c) for p, c in zip(places, names)], "size", "source_size", "target",
         (F.col("_full") * F.col("size") + part).cast("long").alias("taken"),
     )
 

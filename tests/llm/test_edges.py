@@ -240,3 +240,14 @@ def test_many_items_of_one_template_need_little_memory():
     tracemalloc.stop()
     assert len(ids) == 256 and all(len(v) == 4000 for v in ids.values())
     assert peak < 160 << 20  # it was 811 MB before equal windows were merged, 75 MB after
+
+
+def test_mix_passes_columns_of_any_name(table):
+    docs = table([{"doc_id": i, "text": "w " * i, "source": "ab"[i % 2]} for i in range(1, 9)])
+    mine = ["_key", "_source", "_bucket", "_before", "_sum", "_offset", "_budget", "_full", "_rest", "u0", "a.b"]
+    out = mixing.mix(docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in mine}))
+    assert out.columns == [*docs.columns, *mine, "size", "source_size", "target", "taken"]
+    for r in out.collect():
+        assert [r[c] for c in mine] == [f"{c}{r.doc_id}" for c in mine]
+    plain = mixing.mix(docs).select("doc_id", "taken").collect()
+    assert sorted(plain) == sorted(out.select("doc_id", "taken").collect())
