@@ -102,7 +102,7 @@ def test_chained_passages(spark, sf, rows):
         assert min(len(a), len(b)) >= 30
         assert brute.edit_distance(a, b) <= (1 - r.identity) * max(len(a), len(b)) + 1e-6 and r.identity >= 0.8
     seen = {r.doc_id for r in found} | {r.other_id for r in found}
-    assert set(range(60, 103)) - {90, 91, 92, 93, 94} <= seen
+    assert set(range(60, 103)) <= seen
     assert not seen & (set(range(6, 60)) | {103, 104, 105, 106, 107, 110})
 
 
