@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from basketry.operators import gold, silver as S
 from basketry.plans import catalogue as C, features as X, views
 from basketry.registry.all import all_queries
+from basketry.registry import warehouse
+from basketry.session import SMALL_TASKS, small_tasks
+from basketry.sources import feeds, star as star_module
 from basketry.sources.star import load_star, sales_fact
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +107,35 @@ def test_prices_seen_very_often_stay_one_row_per_day(spark):
     text = plan(versions)
     window = text.index("Window")
     assert "HashAggregate" in text[window:]
+
+
+def test_feed_lines_are_sorted_before_their_text_is_made(spark):
+    """What the sort of a landing holds is numbers, not the text columns made from them."""
+    rows = feeds.audited_feed(spark, SF, "pos_system_b", every_line=True, by_month=True)
+    below_sort = plan(rows)[plan(rows).index("Sort ["):]
+    assert "sha2(" in plan(rows) and "sha2(" not in below_sort and "concat_ws(" not in below_sort
+    months = rows.select("batch_month", F.spark_partition_id().alias("p")).collect()
+    for p in {r["p"] for r in months}:
+        mine = [r["batch_month"] for r in months if r["p"] == p]
+        assert mine == sorted(mine)
+
+
+def test_large_sorted_writes_run_in_small_tasks(spark, tmp_path, monkeypatch):
+    before = {k: spark.conf.get(k, None) for k in SMALL_TASKS}
+    with pytest.raises(ValueError), small_tasks(spark):
+        assert all(spark.conf.get(k) == v for k, v in SMALL_TASKS.items())
+        raise ValueError
+    assert {k: spark.conf.get(k, None) for k in SMALL_TASKS} == before
+    entered = []
+    monkeypatch.setattr(star_module, "small_tasks", lambda s: entered.append(s) or small_tasks(s))
+    sales = load_star(spark, SF).sales
+    star_module.write_sales(sales, str(tmp_path / "sales"))
+    assert entered and spark.read.parquet(str(tmp_path / "sales")).count() == sales.count()
+
+
+def test_monthly_reports_do_not_build_the_whole_fact(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("the session's fact was built")
+
+    monkeypatch.setattr(warehouse, "load_star", unwanted)
+    assert warehouse.etl_monthly_summary(spark, SF).count() >= len(warehouse.ETL_MONTHS)  # late sales belong to earlier months
