@@ -151,3 +151,22 @@ def test_model_learns_saves_and_never_predicts_below_zero(spark, tmp_path):
     assert ranked[0].feature.startswith("category_") and sum(r.gain for r in ranked) == pytest.approx(1.0)
     unseen = M.prepared(rows, M.REVENUE).withColumn("category", F.lit("unseen"))
     assert M.predict(model, unseen).agg(F.min("predicted_qty")).first()[0] >= 0
+
+
+def test_models_are_fitted_on_small_partitions(spark, tmp_path, monkeypatch):
+    """The fit reads its rows with the settings of small tasks, and the session's own are back afterwards."""
+    from basketry.session import SMALL_TASKS
+    before = {k: spark.conf.get(k, None) for k in SMALL_TASKS}
+    seen = []
+
+    def fitted(rows, *_):
+        seen.append({k: spark.conf.get(k, None) for k in SMALL_TASKS})
+        raise InterruptedError
+
+    monkeypatch.setattr(M, "train", fitted)
+    rows = spark.range(40).selectExpr(
+        "concat('T', id) transaction_id", "cast(id as double) net_amount", "1 quantity", "2.0 unit_price", "0.0 discount_amount",
+        "'c' category", "'online' store_type", "false is_holiday", "1.0D sample_weight")
+    with pytest.raises(InterruptedError):
+        M.train_and_save(rows, M.REVENUE, str(tmp_path / "model"))
+    assert seen == [SMALL_TASKS] and {k: spark.conf.get(k, None) for k in SMALL_TASKS} == before
