@@ -10,8 +10,8 @@ from basketry.functions.money import big, dbl, rounded
 from basketry.plans import demand as M, features as X, forecast as T
 from basketry.registry.query import Query
 from basketry.registry.star_sql import dbl as sql_dbl, big as sql_big, ratio, star
-from basketry.session import spool
-from basketry.sources.star import load_star, session_folder
+from basketry.session import small_tasks, spool
+from basketry.sources.star import load_star, sales_star, session_folder
 
 AS_OF = dt.date(2001, 10, 20)
 TREES, DEPTH = 40, 6
@@ -207,7 +207,8 @@ def ts_fit_metrics(spark, sf_dir):
 
 
 def rep_forecast(spark, sf_dir):
-    return T.aggregate_forecast(load_star(spark, sf_dir), AS_OF, 3)
+    with small_tasks(spark):  # the series is written inside
+        return T.aggregate_forecast(sales_star(spark, sf_dir), AS_OF, 3)
 
 
 def rep_revenue_forecast(spark, sf_dir):

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import gold, silver as S
-from basketry.plans import catalogue as C, features as X, views
+from basketry.plans import catalogue as C, features as X, forecast as T, views
 from basketry.registry.all import all_queries
-from basketry.registry import warehouse
+from basketry.registry import models, warehouse
 from basketry.session import SMALL_TASKS, small_tasks
 from basketry.sources import feeds, star as star_module
 from basketry.sources.star import load_star, sales_fact
@@ -139,3 +139,19 @@ def test_monthly_reports_do_not_build_the_whole_fact(spark, monkeypatch):
 
     monkeypatch.setattr(warehouse, "load_star", unwanted)
     assert warehouse.etl_monthly_summary(spark, SF).count() >= len(warehouse.ETL_MONTHS)  # late sales belong to earlier months
+
+
+@pytest.fixture()
+def unwritten(tmp_path, monkeypatch):
+    """The small tables under a folder whose fact nobody has written; writing it fails."""
+    def refused(*_):
+        raise AssertionError("the fact was written")
+
+    (tmp_path / "sf").symlink_to(SF)
+    monkeypatch.setattr(star_module, "write_sales", refused)
+    return str(tmp_path / "sf")
+
+
+def test_total_forecast_reads_the_sales_once_without_writing_the_fact(spark, star, unwritten):
+    rows = models.rep_forecast(spark, unwritten).collect()
+    assert rows and rows == T.aggregate_forecast(star, models.AS_OF, 3).collect()
