@@ -47,7 +47,10 @@ def _model(spark, sf_dir, spec: M.ModelSpec):
 
 
 def _fits(spark, sf_dir):
-    return once(spark, ("fits", sf_dir), lambda: T.fitted_slices(load_star(spark, sf_dir), AS_OF))
+    def make():
+        with small_tasks(spark):  # the series are written inside
+            return T.fitted_slices(sales_star(spark, sf_dir), AS_OF)
+    return once(spark, ("fits", sf_dir), make)
 
 
 def _slices(spark, sf_dir):

@@ -155,3 +155,10 @@ def unwritten(tmp_path, monkeypatch):
 def test_total_forecast_reads_the_sales_once_without_writing_the_fact(spark, star, unwritten):
     rows = models.rep_forecast(spark, unwritten).collect()
     assert rows and rows == T.aggregate_forecast(star, models.AS_OF, 3).collect()
+
+
+def test_slice_forecasts_read_the_sales_once_without_writing_the_fact(spark, star, unwritten, monkeypatch):
+    monkeypatch.setattr(T, "order_grid", lambda arrays: arrays)
+    found = models._fits(spark, unwritten)[1].select("slice_id", "y", "last")
+    expected = T.series_arrays(T.with_slice_id(T.slice_series(star, models.AS_OF))).select("slice_id", "y", "last")
+    assert sorted(found.collect()) == sorted(expected.collect())
