@@ -1,6 +1,7 @@
 """Plan shape and hot keys: what keeps the jobs alive on large, skewed data."""
 import datetime as dt
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from basketry.operators import gold, silver as S
 from basketry.plans import catalogue as C, features as X, forecast as T, views
 from basketry.registry.all import all_queries
 from basketry.registry import models, warehouse
-from basketry.session import SMALL_TASKS, small_tasks
+from basketry.session import SMALL_TASKS, discard, path_exists, small_tasks, spool
 from basketry.sources import feeds, star as star_module
 from basketry.sources.star import load_star, sales_fact
 
@@ -162,3 +163,39 @@ def test_slice_forecasts_read_the_sales_once_without_writing_the_fact(spark, sta
     found = models._fits(spark, unwritten)[1].select("slice_id", "y", "last")
     expected = T.series_arrays(T.with_slice_id(T.slice_series(star, models.AS_OF))).select("slice_id", "y", "last")
     assert sorted(found.collect()) == sorted(expected.collect())
+
+
+def test_small_tasks_stay_small_in_a_session_of_few_partitions(spark, monkeypatch):
+    """AQE only merges shuffle partitions, so there must be more of them than the session has."""
+    monkeypatch.setitem(SMALL_TASKS, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        with small_tasks(spark):
+            rows = spool(spark.range(100_000).groupBy("id").agg(F.count("*").alias("n")), "many")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(rows.inputFiles()) > 2 and rows.count() == 100_000
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.splitlines() if "/shuffle_" in f}
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = spool(spark.range(100_000).repartition(4, "id").groupBy("id").count(), "step")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert rows.count() == 100_000
+
+
+def test_discarded_steps_are_deleted(spark):
+    rows = spool(spark.range(10), "step")
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    assert path_exists(spark, folder)
+    discard(rows)
+    assert not path_exists(spark, folder)
