@@ -23,7 +23,7 @@ K, SKETCHES, TUPLE = 9, 32, 2
 #: K-mers looked at per group before all of a text are.
 LOOK = 12
 #: Texts are fingerprinted in parts of so many bytes.
-PART = 2 << 20
+PART = 1 << 19
 
 
 def _numbered(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
