@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.session import spool
+from basketry.session import discard, spool
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,5 +46,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     current = spool(current, "edges")
     while not _settled(current):
-        current = spool(_small_star(_large_star(current)), "edges")
+        before, current = current, spool(_small_star(_large_star(current)), "edges")
+        discard(before)
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,6 +7,8 @@ candidate sets: what two sets share from the front is counted once, and a branch
 the shingles that remain cannot reach the required overlap.
 
 Only connected components are wanted, so sets that are already connected are not compared again.
+Of the others, a pair is made only if the parities of both sets allow the similarity: every set
+has 512 bits, each the parity of the shingles that fall on it, and two sets differ in at least as many shingles as bits.
 """
 from __future__ import annotations
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from basketry.llm import blocks
 from basketry.llm.graph import components
-from basketry.session import spool
+from basketry.session import discard, spool
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -28,6 +30,8 @@ FREQUENT = 0.001
 FULL = 16
 #: Rounds that tie the sets of a shingle to one anchor before the remaining pairs are listed.
 STAR_ROUNDS = 2
+#: Columns of 64 parities each.
+PARITIES = [f"p{i}" for i in range(8)]
 #: Parts that a frequent shingle's sets are dealt to.
 SALT = 16
 
@@ -85,8 +89,17 @@ def set_key(s: np.ndarray) -> np.uint64:
     return blocks.mixed(blocks.mixed(s + np.uint64(0x51ED270B)).sum(keepdims=True) + np.uint64(len(s)))[0]
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of words per set: each bit is the parity of how many of its shingles fall on it."""
+    bits = 64 * len(PARITIES)
+    counts = np.zeros((len(sets), bits), np.uint8)
+    for i, s in enumerate(sets):
+        counts[i] = np.bincount((blocks.mixed(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(counts, axis=1, bitorder="little").view(np.int64)
+
+
 def _features(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document (key and size of its set), and rows of shingles common in one batch."""
+    """A row per document (key, size and parities of its set), and rows of shingles common in one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks.slices(batches, "text"):
             sets = shingle_sets(batch.column(1), size)
@@ -99,6 +112,7 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
             n = batch.num_rows
             m = int(often.sum())
             none = pa.nulls
+            words = parities(sets)
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([batch.column(0), none(m, batch.column(0).type)]),
                 pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), none(m, pa.int64())]),
@@ -106,10 +120,12 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
                 pa.concat_arrays([batch.column(2), none(m, pa.int64())]),
                 pa.concat_arrays([none(n, pa.int64()), pa.array(every[head[often]].view(np.int64))]),
                 pa.concat_arrays([none(n, pa.int64()), pa.array(count[often], pa.int64())]),
-            ], names=["doc_id", "n", "cls", "text_key", "token", "df"])
+                *[pa.concat_arrays([pa.array(np.ascontiguousarray(words[:, i])), none(m, pa.int64())]) for i in range(len(PARITIES))],
+            ], names=["doc_id", "n", "cls", "text_key", "token", "df", *PARITIES])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, cls long, text_key long, token long, df long")
+    shape = f"doc_id {id_type}, n long, cls long, text_key long, token long, df long, "
+    return docs.mapInArrow(run, shape + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def _entries(docs: DataFrame, size: int, percent: int, last: np.ndarray, hot: dict[int, object]) -> DataFrame:
@@ -265,34 +281,48 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     state = entries.groupBy("cls").agg(F.first("n").alias("n"), F.sum(heavy.cast("int")).alias("h"))
     state = state.select("cls", (F.expr(_emitted_sql("n", percent)) - F.col("h") - F.expr(_front_sql("n", percent))).alias("slack"))
 
+    known = features.filter("n > 0").select("cls", *PARITIES).join(entries.select("cls").distinct(), "cls", "left_semi")
+    bits = spool(known.dropDuplicates(["cls"]), "parities")
+
     links = None
     tried = None
     comp = entries.select("cls").distinct().withColumn("comp", F.col("cls"))
     sets = None
+    written, classes = [], []
     for step in range(STAR_ROUNDS + 1):
         now = entries.join(comp, "cls")
         # Tokens whose sets are not all connected yet.
         spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
         now = spool(now.join(spread, "token", "left_semi"), "open")
-        if step < STAR_ROUNDS:
-            pairs = _star(now, step, percent)
+        if step == 0:
+            pairs = _possible(_star(now, percent), bits, percent)
+        elif step < STAR_ROUNDS:
+            pairs = _many_stars(now, step, bits, percent)
         else:
-            pairs = _remaining(now, state, percent)
+            pairs = _remaining(now, state, bits, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = spool(pairs, "pairs")
+        pairs = spool(pairs.select("a", "b"), "pairs")
+        discard(now)
+        written.append(pairs)
         if pairs.isEmpty():
             if step < STAR_ROUNDS:
                 continue
             break
         sets = _sets_for(sets, pairs, filled, docs, size)
         fresh = spool(_verify(pairs, sets, percent), "links")
+        written.append(fresh)
         links = fresh if links is None else links.union(fresh)
         tried = pairs if tried is None else tried.union(pairs)
         roots = components(links, "a", "b")
-        comp = spool(
+        merged = spool(
             entries.select("cls").distinct().join(roots, F.col("cls") == F.col("node"), "left")
             .select("cls", F.coalesce("root", "cls").alias("comp")), "classes")
+        discard(roots, *classes)
+        comp, classes = merged, [merged]
+    if classes:  # else the classes are read from the entries
+        discard(entries)
+    discard(bits, *written, *([] if sets is None else [sets]))
 
     classed = rows.join(comp, "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
     smallest = classed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -305,13 +335,28 @@ def _fits(percent: int):
     return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
 
 
-def _star(now: DataFrame, step: int, percent: int) -> DataFrame:
+def _alike(percent: int, a: str, b: str):
+    """Whether parities (struct columns or aliases ``a`` and ``b``) and sizes allow the required similarity.
+
+    Similar sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum.
+    """
+    differ = sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARITIES), F.lit(0))
+    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) whose parities allow the similarity."""
+    side = lambda s: bits.select(F.col("cls").alias(s), *[F.col(p).alias(f"{s}_{p}") for p in PARITIES])
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike(percent, "a_", "b_")).select("a", "b")
+
+
+def _star(now: DataFrame, percent: int) -> DataFrame:
     """Each set of a token against the token's anchor: as many pairs as entries at most.
 
-    The anchor is the set of the lowest rank of its (token, part); ranks change with the round.
-    The anchors of a token's parts are paired with the lowest of them.
+    The anchor is the set of the lowest rank of its (token, part).  The anchors of a token's parts are paired
+    with the lowest of them.
     """
-    rank = F.xxhash64(F.lit(step), "comp", "cls")
+    rank = F.xxhash64(F.lit(0), "comp", "cls")
     center = now.groupBy("token", "part").agg(F.min(F.struct(rank.alias("r"), "cls", "n", "comp")).alias("c"))
     top = center.groupBy("token").agg(F.min("c").alias("top"))
     columns = lambda c, side: [
@@ -322,36 +367,55 @@ def _star(now: DataFrame, step: int, percent: int) -> DataFrame:
     pairs = joined.filter("comp_a != comp").filter(_fits(percent))
     enough = F.expr(f"least({_emitted_sql('n_a', percent)} - {_front_sql('n_a', percent)}, {_emitted_sql('n_b', percent)} - {_front_sql('n_b', percent)}) / 4")
     counted = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(enough).alias("enough"))
-    return counted.filter(F.col("shared") >= F.greatest(F.col("enough"), F.lit(1))).select("a", "b")
+        F.count("*").alias("shared"), F.first(enough).alias("enough"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return counted.filter(F.col("shared") >= F.greatest(F.col("enough"), F.lit(1)))
+
+
+def _many_stars(now: DataFrame, step: int, bits: DataFrame, percent: int) -> DataFrame:
+    """Each set of a common token against the token's anchor, where parities allow it: as many pairs as entries at most.
+
+    Every token has an anchor of its own, so a set of a large group meets many, and is left alone only if it is
+    similar to none of them.
+    """
+    common = now.filter(F.col("frequent") | (F.col("df") > FULL)).join(bits, "cls")
+    rank = F.xxhash64(F.lit(step), "token", "cls")
+    center = common.groupBy("token", "part").agg(F.min(F.struct(rank.alias("r"), "cls", "n", "comp", *PARITIES)).alias("c"))
+    top = center.groupBy("token").agg(F.min("c").alias("top"))
+    sized = lambda df, c, side: df.withColumns({"n_a": F.col(f"{c}.n").cast("long"), "n_b": F.col(f"{side}n").cast("long")}).filter(
+        F.col(f"{c}.comp") != F.col(f"{side}comp")).filter(_fits(percent)).filter(_alike(percent, f"{c}.", side)).select(
+        F.least(f"{c}.cls", f"{side}cls").alias("a"), F.greatest(f"{c}.cls", f"{side}cls").alias("b"))
+    return sized(common.join(center, ["token", "part"]), "c", "").union(sized(center.join(top, "token"), "top", "c.")).distinct()
 
 
-def _remaining(now: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+def _remaining(now: DataFrame, state: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Every other pair that may be similar and is not connected yet.
 
     Between sets with enough rare shingles, rare ones decide: sets of a pair share as many of them
     as both have slack beyond their fronts.  A set that lacks rare shingles is paired through
     its frequent ones as well, within the fronts of the order in which they were emitted; the smaller set
-    of such a pair need only show a front that a set of its size or more must meet.
+    of such a pair need only show a front that a set of its size or more must meet.  Pairs whose parities tell them
+    apart are not made.
     """
     rows = now.join(state, "cls")
     heavy = F.col("frequent") | (F.col("df") > FULL)
-    side = lambda df, s: df.select(
-        "token", F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("slack").alias(f"slack_{s}"))
+    side = lambda df, s, *more: df.select(
+        "token", F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("slack").alias(f"slack_{s}"),
+        *[F.col(p).alias(f"{s}_{p}") for p in more])
     rare = rows.filter(~heavy)
     light = side(rare, "a").join(side(rare, "b"), "token").filter("cls_a < cls_b and comp_a != comp_b").filter(_fits(percent))
-    light = light.groupBy("cls_a", "cls_b").agg(F.count("*").alias("shared"), F.first(F.least("slack_a", "slack_b")).alias("slack"))
-    light = light.filter(F.col("shared") > F.col("slack")).select("cls_a", "cls_b")
+    light = light.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
+        F.count("*").alias("shared"), F.first(F.least("slack_a", "slack_b")).alias("slack"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    light = _possible(light.filter(F.col("shared") > F.col("slack")), bits, percent)
     # The larger set of a pair looks with its front, the smaller one is found by a shorter front.
-    dense = rows.filter(heavy & (F.col("pos") < F.expr(_front_sql("n", percent))))
+    dense = rows.filter(heavy & (F.col("pos") < F.expr(_front_sql("n", percent)))).join(bits, "cls")
     found = dense.filter(F.col("pos") < F.expr(_short_front_sql("n", percent)))
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") > F.col("cls_b")))
     short = (
-        side(dense, "a").join(side(found, "b"), "token")
-        .filter(larger & ((F.col("slack_a") < 0) | (F.col("slack_b") < 0)) & (F.col("comp_a") != F.col("comp_b"))).filter(_fits(percent))
+        side(dense, "a", *PARITIES).join(side(found, "b", *PARITIES), "token")
+        .filter(larger & ((F.col("slack_a") < 0) | (F.col("slack_b") < 0)) & (F.col("comp_a") != F.col("comp_b")))
+        .filter(_fits(percent) & _alike(percent, "a_", "b_"))
     )
-    return light.union(short.select("cls_a", "cls_b")).select(
-        F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    return light.union(short.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))).distinct()
 
 
 def _sets_for(sets: DataFrame | None, pairs: DataFrame, filled: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -363,6 +427,7 @@ def _sets_for(sets: DataFrame | None, pairs: DataFrame, filled: DataFrame, docs:
     if sets is not None and texts.isEmpty():
         return sets
     more = spool(_text_sets(docs, texts, size), "tokens")
+    discard(texts)
     return more if sets is None else sets.unionByName(more)
 
 

@@ -171,6 +171,33 @@ def test_frequent_shingles_and_hot_copies(table, rows, monkeypatch):
     assert sorted(map(tuple, found), key=repr) == sorted(brute.ngram_components(rows[0]), key=repr)
 
 
+def test_parities_never_tell_similar_sets_apart():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 90, 3000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for changed in range(0, min(n, 40), 3):
+            other = np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed + 2, np.uint64)])
+            a, b = prefix_tree_join.parities([np.sort(base), np.sort(other)])
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(base, other))
+
+
+def test_group_of_unlike_copies_is_not_paired(table, monkeypatch):
+    """Copies that share most shingles, no two of which are similar: their pairs were all read and compared."""
+    rng, words = random.Random(5), [f"word{i}" for i in range(110)]
+    docs = []
+    for i in range(60):
+        copy = list(words)
+        for at in (rng.randrange(5, 50), rng.randrange(60, 105)):
+            copy[at] = f"own{i}at{at}"
+        docs.append({"doc_id": i, "text": " ".join(copy)})
+    docs += [{"doc_id": 60 + i, "text": docs[i]["text"] + " more"} for i in range(3)]
+    compared, verify = [], prefix_tree_join._verify
+    monkeypatch.setattr(prefix_tree_join, "_verify", lambda pairs, *more: compared.append(pairs.count()) or verify(pairs, *more))
+    found = prefix_tree_join.similar_components(table(docs)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(brute.ngram_components(docs), key=repr)
+    assert 3 <= sum(compared) < 60
+
+
 def test_anchors_in_small_blocks(table, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 300)
     found = suffix_dedup.repeated_strings(table(rows[0]))
