@@ -290,10 +290,13 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     sets = None
     written, classes = [], []
     for step in range(STAR_ROUNDS + 1):
-        now = entries.join(comp, "cls")
-        # Tokens whose sets are not all connected yet.
-        spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-        now = spool(now.join(spread, "token", "left_semi"), "open")
+        if step == 0:  # nothing is connected yet: every set is a class of its own
+            now = entries.withColumn("comp", F.col("cls"))
+        else:
+            now = entries.join(comp, "cls")
+            # Tokens whose sets are not all connected yet.
+            spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+            now = spool(now.join(spread, "token", "left_semi"), "open")
         if step == 0:
             pairs = _possible(_star(now, percent), bits, percent)
         elif step < STAR_ROUNDS:
@@ -303,7 +306,8 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = spool(pairs.select("a", "b"), "pairs")
-        discard(now)
+        if step:
+            discard(now)
         written.append(pairs)
         if pairs.isEmpty():
             if step < STAR_ROUNDS:

@@ -3,7 +3,8 @@ import tracemalloc
 
 import numpy as np
 
-from basketry.llm import ngram_lm, order_minhash
+from basketry.llm import ngram_lm, order_minhash, prefix_tree_join
+from basketry.session import spool
 
 
 def test_fingerprints_work_on_small_parts():
@@ -29,3 +30,19 @@ def test_ngrams_are_shuffled_before_they_are_summed(spark):
         assert "Aggregate" not in text[text.index("Exchange hashpartitioning(x"):]
         rows = counted.filter(f"size = {size}").collect()
         assert len({r["key"] for r in rows}) == len(rows) and sorted(r["n"] for r in rows) == kept
+
+
+def test_first_round_of_the_join_writes_no_copy_of_the_fronts(spark, monkeypatch):
+    """Nothing is connected in the first round, so the fronts are neither joined with classes nor written again."""
+    labels = []
+
+    def noted(df, label="spool"):
+        labels.append(label)
+        return spool(df, label)
+
+    monkeypatch.setattr(prefix_tree_join, "spool", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " tail"), (3, "quite another text of some words"), (4, "and one more of its own")]
+    found = prefix_tree_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert labels.index("pairs") < labels.index("open")
