@@ -1,13 +1,14 @@
 """Series, fits and training rows."""
 import datetime as dt
 import hashlib
+import inspect
 import itertools
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.plans import demand as M, features as X, forecast as T
+from basketry.plans import boosting, demand as M, features as X, forecast as T
 from basketry.registry import models
 from basketry.sources.star import load_star
 
@@ -170,3 +171,77 @@ def test_models_are_fitted_on_small_partitions(spark, tmp_path, monkeypatch):
     with pytest.raises(InterruptedError):
         M.train_and_save(rows, M.REVENUE, str(tmp_path / "model"))
     assert seen == [SMALL_TASKS] and {k: spark.conf.get(k, None) for k in SMALL_TASKS} == before
+
+
+def test_models_have_as_many_trees_as_the_job_names(spark, monkeypatch):
+    """400 trees of depth 6, in the registered models and by default."""
+    seen = []
+
+    def fitted(rows, spec, trees, depth):
+        seen.append((spec.target, trees, depth))
+        raise InterruptedError
+
+    monkeypatch.setattr(M, "train", fitted)
+    for spec in (M.DEMAND, M.REVENUE):
+        with pytest.raises(InterruptedError):
+            models._model(spark, "/root/testdata/sf0.001", spec)
+    assert seen == [("quantity", 400, 6), ("net_amount", 400, 6)]
+    assert inspect.signature(M.train_and_save).parameters["trees"].default == 400
+
+
+def boosted_rows(spark, n=400):
+    rng = np.random.default_rng(5)
+    x, c, w = rng.integers(0, 20, n).astype(float), rng.integers(0, 4, n), rng.uniform(0.5, 2.0, n)
+    y = 3.0 * (x > 12) + 2.0 * (c == 2) + 0.1 * rng.normal(size=n)
+    data = [(f"t{i}", float(x[i]), int(c[i]), float(y[i]), float(w[i])) for i in range(n)]
+    return spark.createDataFrame(data, "id string, x double, c int, y double, w double"), x, c, y, w
+
+
+def boosted(rows, trees, depth, **shares):
+    shares = {"row_share": 1.0, "column_share": 1.0, "step": 1.0, **shares}
+    model = boosting.fit(rows, [F.col("x")], [F.col("c")], [5], F.col("y"), F.col("w"), F.col("id"), trees, depth, seed=7, **shares)
+    scored = rows.withColumn("p", model.predict([F.col("x")], [F.col("c")]))
+    return model, np.array([r.p for r in scored.orderBy(F.expr("cast(substr(id, 2) as int)")).collect()])
+
+
+def test_a_tree_is_that_of_all_splits_compared(spark):
+    """Depth 2 against a plain search over every split of every encoded column."""
+    rows, x, c, y, w = boosted_rows(spark)
+    columns = [x > e for e in np.unique(x)] + [c == k for k in range(5)]
+    out = np.full(len(y), (w * y).sum() / w.sum())
+    rest = y - out
+    score = lambda m: (w * rest)[m].sum() ** 2 / (w[m].sum() + 1)
+
+    def best(m):
+        right = max((k for k in columns if min(w[m & k].sum(), w[m & ~k].sum()) >= 1), key=lambda k: score(m & k) + score(m & ~k))
+        return m & ~right, m & right
+
+    for half in best(np.ones(len(y), bool)):
+        for leaf in best(half):
+            out[leaf] += (w * rest)[leaf].sum() / (w[leaf].sum() + 1)
+    model, got = boosted(rows, 1, 2)
+    assert got == pytest.approx(out, abs=1e-4)
+    assert len(model.trees) == 1 and all(g >= 0 for g in model.gains) and sum(model.gains) > 0
+
+
+def test_a_fit_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    """Shares of rows and columns, states written between trees, several blocks a task."""
+    monkeypatch.setattr(boosting, "WRITTEN_EVERY", 3)
+    rows, *_, y, _ = boosted_rows(spark)
+    kinds = {"row_share": 0.9, "column_share": 0.9, "step": 0.3}
+    _, one = boosted(rows.repartition(1), 12, 3, **kinds)
+    _, many = boosted(rows.repartition(9, "x"), 12, 3, **kinds)
+    assert one == pytest.approx(many, abs=1e-3) and np.mean((one - y) ** 2) < 0.05 * np.var(y)
+
+
+def test_a_fit_holds_few_bytes_a_row(spark):
+    """Coded rows, not encoded vectors: 590 bytes a row were kept before."""
+    c = boosting.Coding([[0.0] * 255, [0.0] * 255, [0.0] * 10, [0.0] * 11, [0.0] * 3, [0.0]], [6, 26, 3, 5, 4])
+    block = boosting.Block(c.codes([np.zeros(1000)] * 11), *[np.zeros(1000, t) for t in (np.float32, np.float32, np.uint32, bool)])
+    assert sum(map(len, boosting._packed(block))) <= 30 * 1000
+
+
+def test_rows_without_a_label_cannot_be_fitted(spark):
+    rows, *_ = boosted_rows(spark, 20)
+    with pytest.raises(ValueError, match="no label"):
+        boosted(rows.withColumn("y", F.when(F.col("id") != "t3", F.col("y"))), 1, 1)
