@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from basketry.operators import gold, silver as S
 from basketry.operators.latest import latest_per_key
 from basketry.operators.silver import KEY, NEWEST, ROW, Lake
-from basketry.session import spool
+from basketry.session import discard, spool
 
 
 @dataclass(frozen=True)
 class Backfill:
-    """``outcomes``: every row with outcome and winner; ``months``: one row per key and month."""
+    """``outcomes``: every row with its outcome, a dropped one with the row that was kept; ``months``: one row per key and month."""
 
     outcomes: DataFrame
     months: DataFrame
@@ -40,7 +40,7 @@ class Backfill:
             "batch_month", *KEY, F.col("kept.batch_id").alias("kept_batch_id"), F.col(f"{gone}batch_id").alias("dropped_batch_id"),
             F.col("kept.ingested_at").alias("kept_ingested_at"), F.col(f"{gone}ingested_at").alias("dropped_ingested_at"),
             F.lit(self.now).alias("deduped_at"))
-        replaced = self.months.filter("loaded and stored is not null")
+        replaced = self.months.filter("loaded and stored is not null").withColumn("kept", F.col("best"))
         return dropped(self.outcomes.filter("outcome = 'deduped'"), "").unionByName(dropped(replaced, "stored."))
 
     def gold_rows(self, promotable: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -63,7 +63,8 @@ def backfill(rows: DataFrame, product: DataFrame, now: dt.datetime) -> Backfill:
     """Judge adapted rows with their ``batch_month``.
 
     A month's winner is loaded unless an earlier month had one as new; ``stored`` is the newest row before the
-    month, ``kept`` the one after it.
+    month, ``kept`` the one after it.  A row meets its month with the winner's row number and what the audit names, nothing
+    else of the contest travels or is written twice.
     """
     prepared = S.prepare(rows, product, None, now)
     valid = prepared.filter(F.col("reject_reason").isNull()).drop("reject_reason")
@@ -72,15 +73,21 @@ def backfill(rows: DataFrame, product: DataFrame, now: dt.datetime) -> Backfill:
     of_key = Window.partitionBy(*KEY)
     earlier = of_key.orderBy("batch_month").rowsBetween(Window.unboundedPreceding, -1)
     newest = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in NEWEST])
-    months = best.withColumns({"stored": F.max("best").over(earlier), "last": F.max("best").over(of_key)})
+    months = best.withColumns({"stored": F.max("best").over(earlier), "is_newest": F.col("best") == F.max("best").over(of_key)})
     loaded = F.col("stored").isNull() | (newest("best") > newest("stored"))
-    months = months.withColumn("loaded", loaded).withColumn("kept", F.when(F.col("loaded"), F.col("best")).otherwise(F.col("stored")))
-    months = spool(months, "backfill-months")
-    wins = F.col("loaded") & (order == F.col("best"))
-    judged = valid.join(months, [*KEY, "batch_month"]).withColumns({
-        "outcome": F.when(wins, "loaded").otherwise("deduped"), "is_last": order == F.col("last")}).drop("best", "last", "stored", "loaded")
+    months = spool(months.withColumn("loaded", loaded), "backfill-months")
+    named = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("batch_id", "ingested_at")])
+    contest = months.select(*KEY, "batch_month", "loaded", "is_newest", F.col(f"best.{ROW}").alias("_best"),
+                            F.when(F.col("loaded"), named("best")).otherwise(named("stored")).alias("_kept"))
+    first = F.col(ROW) == F.col("_best")
+    wins = F.col("loaded") & first
+    judged = valid.join(contest, [*KEY, "batch_month"]).withColumns({
+        "outcome": F.when(wins, "loaded").otherwise("deduped"), "is_last": F.col("is_newest") & first,
+        "kept": F.when(~wins, F.col("_kept"))}).drop("_best", "_kept", "is_newest", "loaded")
     rejected = prepared.filter(F.col("reject_reason").isNotNull()).withColumn("outcome", F.lit("rejected"))
-    return Backfill(spool(judged.unionByName(rejected, allowMissingColumns=True), "backfill"), months, now)
+    outcomes = spool(judged.unionByName(rejected, allowMissingColumns=True), "backfill")
+    discard(prepared)
+    return Backfill(outcomes, months, now)
 
 
 def write_backfill(spark: SparkSession, lake: Lake, done: Backfill, product: DataFrame, store: DataFrame, calendar: DataFrame) -> DataFrame:
