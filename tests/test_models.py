@@ -3,6 +3,7 @@ import datetime as dt
 import hashlib
 import inspect
 import itertools
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pytest
@@ -182,6 +183,7 @@ def test_models_have_as_many_trees_as_the_job_names(spark, monkeypatch):
         raise InterruptedError
 
     monkeypatch.setattr(M, "train", fitted)
+    monkeypatch.setattr(models, "_memo", WeakKeyDictionary())  # models that another test has fitted are not taken
     for spec in (M.DEMAND, M.REVENUE):
         with pytest.raises(InterruptedError):
             models._model(spark, "/root/testdata/sf0.001", spec)
